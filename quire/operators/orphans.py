@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.sources.tables import table
 
@@ -56,7 +57,7 @@ def _full_key() -> Column:
 
 
 def _ranged(cuts: list[str]):
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def range_of(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(np.array(cuts, dtype=object), k.to_numpy(dtype=object), side="right").astype("int32"))
 
