@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import components, lookalike, shared_spans
+from quire.llm import components, leakage, lookalike, shared_spans
 
-MODULES = [components, lookalike, shared_spans]
+MODULES = [components, leakage, lookalike, shared_spans]
 
 
 def queries() -> dict:
