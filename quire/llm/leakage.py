@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.edit import distance
 from quire.llm.lookalike import fold_word
 from quire.sources.tables import table
 
 #: Words of an item that a document must hold in a row, and among how many of them one may be misread.
 LEAST_WORDS, ONE_IN = 10, 5
-#: Equal words among ten on a hit's diagonal, at least: two may be misread, one more parted or joined.
-LEAST_EQUAL = LEAST_WORDS - 3
+#: Equal words among ten, at least: two may be misread.
+LEAST_EQUAL = LEAST_WORDS - 2
 #: Items whose fingerprints are sent to the executors at a time; more items make more passes over the corpus.
 ITEM_BLOCK = 5_000
 BATCH_CHARS = 2_000_000
@@ -47,9 +48,9 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        f = fold(word)
-        h = hash_word(f) if f else 0
-        self[word] = h
+            _FOLDED.clear()
+        f = _FOLDED[word] = fold(word)
+        h = self[word] = hash_word(f) if f else 0
         return h
 
 
@@ -60,6 +61,7 @@ def hash_word(f: str) -> int:
     return xxhash.xxh3_64_intdigest(f) >> 1 or 1
 
 
+_FOLDED: dict[str, str] = {}
 _HASHES = _Hashes()
 
 
@@ -84,7 +86,7 @@ def _grams(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The items' words and kept hashes."""
+    """The items' words and kept hashes, and a table that tells most other hashes apart by their first bits."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -102,6 +104,8 @@ class Index:
         ok = self.owner[at] >= 0
         order = np.argsort(g[ok], kind="stable")
         self.g, self.at = g[ok][order], at[ok][order]
+        self.first = np.zeros(1 << 22, dtype=bool)
+        self.first[self.g >> np.uint64(42)] = True
 
 
 def _like(a: str, b: str) -> str:
@@ -110,17 +114,6 @@ def _like(a: str, b: str) -> str:
     return a + "\0" + b
 
 
-def _distance(a: str, b: str, most: int) -> int:
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 def misread(word: str, seen: str, known: set[str]) -> bool:
     """Whether `seen` (both folded) can be a misreading of `word`: close to it, and no other word of the items."""
     if seen in known or (word.isdigit() and seen.isdigit()):
@@ -130,7 +123,7 @@ def misread(word: str, seen: str, known: set[str]) -> bool:
         return True
     n = len(word)
     most = 0 if n < 2 else 1 if n < 6 else 2
-    return _distance(a, b, most) <= most or _distance(word, seen, most) <= most
+    return distance(a, b, most) <= most or distance(word, seen, most) <= most
 
 
 def _states(item: list[str], doc: list[str], i: int, j: int, step: int, known: set[str]) -> list[int]:
@@ -192,6 +185,8 @@ def _find(index: Index, f: pd.DataFrame) -> pd.DataFrame:
     full = np.nonzero(h)[0]
     h, owner = h[full], owner[full]
     g, at = _grams(h, owner)
+    can = index.first[g >> np.uint64(42)]
+    g, at = g[can], at[can]
     lo, hi = np.searchsorted(index.g, g, side="left"), np.searchsorted(index.g, g, side="right")
     n = hi - lo
     j = np.repeat(at, n)
@@ -208,14 +203,14 @@ def _find(index: Index, f: pd.DataFrame) -> pd.DataFrame:
         ok = (c[:, LEAST_WORDS:] - c[:, : m + 1 - LEAST_WORDS]).max(axis=1, initial=0) >= LEAST_EQUAL
         found.update(zip(jj[ok].tolist(), ii[ok].tolist()))
     rows, begin = set(), np.searchsorted(owner, np.arange(len(size)))
-    folded: dict[int, list[str]] = {}
     for x, y in sorted(found):
         d, k = int(owner[x]), int(index.owner[y])
         if (d, k) in rows:
             continue
-        if d not in folded:
-            folded = {d: [fold(words[p]) for p in full[begin[d] : begin[d + 1] if d + 1 < len(size) else len(full)]]}
-        if holds(index.words[k], folded[d], y - index.begin[k], x - int(begin[d]), index.known):
+        item, i = index.words[k], y - index.begin[k]
+        a = max(int(begin[d]), x - 2 * i - 2)
+        b = min(int(begin[d + 1]) if d + 1 < len(size) else len(full), x + 2 * (len(item) - i) + 2)
+        if holds(item, [_FOLDED.get(words[p]) or fold(words[p]) for p in full[a:b]], i, x - a, index.known):
             rows.add((d, k))
     ids = f["doc_id"].to_numpy()
     return pd.DataFrame({"doc_id": [ids[d] for d, _ in rows], "item_id": [index.ids[k] for _, k in rows]}, dtype="int64")
