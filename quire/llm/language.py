@@ -290,7 +290,9 @@ def fit(docs: DataFrame, blocks: DataFrame) -> Field:
     rows: list = []
     for df, most in ((docs, TRAIN_DOCS), (blocks, TRAIN_BLOCKS)):
         s = df.select("key", "text", code_of(F.col("lang")).alias("code")).where(F.col("code").isNotNull() & (F.col("code") != "?") & F.length("text").between(40, TRAIN_CHARS))
-        rows += s.orderBy(F.xxhash64("key"), "key").limit(most).select("text", "code").collect()
+        # The keys first: a task that sends its candidates to the driver then sends no texts.
+        keys = s.select("key").orderBy(F.xxhash64("key"), "key").limit(most).collect()
+        rows += s.where(F.col("key").isin([r[0] for r in keys])).select("text", "code").collect()
     return _fit([(r[0], r[1]) for r in rows])
 
 
