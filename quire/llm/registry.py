@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import components, language, leakage, lookalike, names, packing, shared_spans
+from quire.llm import components, language, leakage, lookalike, names, packing, scan_noise, shared_spans
 
-MODULES = [components, language, leakage, lookalike, names, packing, shared_spans]
+MODULES = [components, language, leakage, lookalike, names, packing, scan_noise, shared_spans]
 
 
 def queries() -> dict:
