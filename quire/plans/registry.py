@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import orphans
+from quire.plans import citations, quality, texts
+from quire.streaming import windows
 
-MODULES = [orphans]
+MODULES = [citations, texts, quality, windows, orphans]
 
 
 def queries() -> dict:
