@@ -35,13 +35,13 @@ def version_choice(s, d):
   SELECT aff_id, key, row_number() OVER (PARTITION BY stem, author_seq, seq ORDER BY aff_id) AS ordinal FROM k""")
 def natural_key_ordinals(s, d):
     w = Window.partitionBy("stem", "author_seq", "seq").orderBy("aff_id")
-    return t(s, d, "affiliations").where("stem is not null and author_seq is not null and seq is not null").select("aff_id", X.surrogate_key("stem", "author_seq", "seq").alias("key"), F.row_number().over(w).alias("ordinal"))
+    return t(s, d, "affiliations").where("stem is not null and author_seq is not null and seq is not null").select("aff_id", X.surrogate_key("stem", "author_seq", "seq").alias("key"), F.row_number().over(w).cast("long").alias("ordinal"))
 
 
 @query("""SELECT kind, run, ancestor_rank, usd FROM (SELECT kind, run, usd, row_number() OVER (PARTITION BY kind ORDER BY usd DESC NULLS LAST, run) AS ancestor_rank FROM runs) WHERE ancestor_rank <= 3""")
 def dearest_runs(s, d):
     w = Window.partitionBy("kind").orderBy(F.desc_nulls_last("usd"), "run")
-    return t(s, d, "runs").select("kind", "run", "usd", F.row_number().over(w).alias("ancestor_rank")).where("ancestor_rank <= 3")
+    return t(s, d, "runs").select("kind", "run", "usd", F.row_number().over(w).cast("long").alias("ancestor_rank")).where("ancestor_rank <= 3")
 
 
 @query("""WITH q AS (SELECT CASE WHEN length(text) < 40 THEN 1 ELSE 0 END AS flag, CAST(verdict = 'furniture' AS INT) AS truth, stratum FROM heldout_blocks WHERE verdict IN ('content', 'furniture'))
@@ -154,7 +154,7 @@ def interval_overlaps(s, d):
 def patch_precedence(s, d):
     x = t(s, d, "article_runs").where("stem is not null").join(t(s, d, "runs").select("run", "kind"), "run")
     rank = F.when(F.col("kind") == "judged", 1).when(F.col("kind") == "final", 2).when(F.col("kind") == "replay", 3).otherwise(4)
-    k = x.select("stem", "run", "kind", F.row_number().over(Window.partitionBy("stem").orderBy(rank, "made", "ar_id")).alias("n"))
+    k = x.select("stem", "run", "kind", F.row_number().over(Window.partitionBy("stem").orderBy(rank, "made", "ar_id")).cast("long").alias("n"))
     return k.select("stem", "run", "kind", F.when(F.col("n") == 1, "applied").otherwise("blocked").alias("outcome"), "n")
 
 

@@ -11,7 +11,7 @@ LATE = "2 hours"
 
 
 def _timed(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", LATE) if events.isStreaming else events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE) if events.isStreaming else events
 
 
 def _flat(g: DataFrame, *rest: str) -> DataFrame:
