@@ -178,14 +178,16 @@ class Field:
 
 
 def segments_of(lang: np.ndarray, least: int = SEGMENT_WORDS) -> list[tuple[int, int, int]]:
-    """(begin, end, language number) in order. The shortest run below `least` joins a neighbour, the longer one, till none is left."""
+    """(begin, end, language number) in order. Till no run below `least` is left, the shortest joins a neighbour, the longer
+    one; runs between two of one language go first."""
     cut_at = np.flatnonzero(np.diff(lang)) + 1
     b = [0, *cut_at.tolist(), len(lang)]
     runs = [[x, y, int(lang[x])] for x, y in zip(b, b[1:])]
     while len(runs) > 1:
-        k = min(range(len(runs)), key=lambda i: (runs[i][1] - runs[i][0], i))
-        if runs[k][1] - runs[k][0] >= least:
+        short = [i for i, r in enumerate(runs) if r[1] - r[0] < least]
+        if not short:
             break
+        k = min(short, key=lambda i: (not (0 < i < len(runs) - 1 and runs[i - 1][2] == runs[i + 1][2]), runs[i][1] - runs[i][0], i))
         near = [i for i in (k - 1, k + 1) if 0 <= i < len(runs)]
         to = max(near, key=lambda i: (runs[i][1] - runs[i][0], -i))
         x, y = min(k, to), max(k, to)

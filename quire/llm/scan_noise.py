@@ -36,14 +36,15 @@ LONGEST_WORD = 60
 HYPHENS = "-‐‑‒–¬=­"
 # Characters that scanning takes for others.
 CONFUSED = [("ci", "a"), ("cl", "d"), ("li", "h"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w")]
+CONFUSED += [(b, a) for a, b in CONFUSED]
 _EDGE = ".,;:()[]{}«»\"“”„'’‘،؛؟?!—–-…"
 _END = tuple(".!?؟۔")
 _NUMBER = r"(?:[\dlOoIS]{1,4}|[ivxlc]{1,7})"
-_PAGE = rf"(?:[-–—]\s?{_NUMBER}\s?[-–—]|\[{_NUMBER}\]|\({_NUMBER}\)|(?:p|pp|s|ص|صفحه)[.:]?\s?{_NUMBER})"
-_PURE = re.compile(rf"^(?:{_PAGE}|{_NUMBER})$", re.I)
-_BEFORE, _AFTER = re.compile(rf"^(?:{_PAGE}|{_NUMBER})\s+(?=\S)", re.I), re.compile(rf"(?<=\S)\s+(?:{_PAGE}|{_NUMBER})$", re.I)
+_PAGE = rf"(?:[-–—]\s?{_NUMBER}\s?[-–—]|\[{_NUMBER}\]|\({_NUMBER}\)|(?:[pP]{{1,2}}|[sS]|ص|صفحه)[.:]?\s?{_NUMBER})"
+_PURE = re.compile(rf"^(?:{_PAGE}|{_NUMBER})$")
+_BEFORE, _AFTER = re.compile(rf"^(?:{_PAGE}|{_NUMBER})\s+(?=\S)"), re.compile(rf"(?<=\S)\s+(?:{_PAGE}|{_NUMBER})$")
 # With a sign beside the number: such a line says itself that it is a head or foot.
-_SIGNED = re.compile(rf"^{_PAGE}\s+\S|\S\s+{_PAGE}$", re.I)
+_SIGNED = re.compile(rf"^{_PAGE}\s+\S|\S\s+{_PAGE}$")
 _ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|er|e|a|o|º|ª)$")
 _LETTERS = re.compile(r"[^\W\d_]")
 
@@ -92,7 +93,8 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 signed = bool(_SIGNED.search(t))
                 fit = len(t.split(" ")) <= HEAD_WORDS and not t.endswith(_END + tuple(",،;؛")) and (signed or not t.endswith(tuple(HYPHENS)))
                 if pure or fit:
-                    zone = head if pos == "top" else foot if n <= 2 or pd.isna(foot) else False
+                    # A second line is a head's only in a block of the head's own.
+                    zone = (head if rank == 0 or n <= 2 or pd.isna(head) else False) if pos == "top" else foot if n <= 2 or pd.isna(foot) else False
                     rows.append((stem, page, pk, pos, rank, i, pure or (signed and rank == 0), keys, fit, None if pd.isna(zone) else bool(zone)))
         yield pd.DataFrame(rows, columns=["stem", "page", "block_pk", "pos", "rank", "line", "pure", "keys", "fit", "zone"])
 
@@ -122,7 +124,7 @@ class Furniture:
         b = b.join(o, ["stem", "page"]).withColumn("top", at - 1).withColumn("bottom", F.size("ords") - at).where("top <= 1 or bottom <= 1")
         # The text's upper edge is where most pages' first block stands; heads stand above it.
         edge = b.where("top = 0").groupBy("vpos").agg(F.count("*").alias("n")).where("vpos is not null").orderBy(F.desc("n"), "vpos").first()
-        head = F.col("vpos") < F.lit(edge[0] if edge and edge[0] < 0.12 * PAGE_HEIGHT else 0.06 * PAGE_HEIGHT)
+        head = F.col("vpos") < F.lit(edge[0] if edge and 0.05 * PAGE_HEIGHT < edge[0] < 0.12 * PAGE_HEIGHT else 0.06 * PAGE_HEIGHT)
         b = b.withColumn("head", head).withColumn("foot", F.col("vpos") > FOOT * PAGE_HEIGHT)
         c = cut(b.select("stem", "page", "block_pk", "text", "top", "bottom", "head", "foot").mapInPandas(_candidates, _CANDIDATE))
         keyed = c.where("fit").select("stem", "page", "pos", F.explode("keys").alias("key")).where("not (key like '%#%' and key not like '%#%#%')").distinct()
@@ -364,10 +366,11 @@ def _pair_counts(known: set[str]):
 
 
 def vocabulary(marked: DataFrame) -> list[str]:
-    """The words frequent enough, over all running text of (text, gone); without digits."""
+    """The words frequent enough, over all running text of (text, gone); none with digits or signs between letters."""
     c = cut(marked.select("text", "gone").mapInPandas(_counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     least = max(VOCABULARY_LEAST, VOCABULARY_SHARE * (c.agg(F.sum("n")).first()[0] or 0))
-    return sorted(r[0] for r in c.where((F.col("n") >= least) & ~F.col("w").rlike(r"\d|^\W*$")).select("w").collect())
+    frequent = (r[0] for r in c.where((F.col("n") >= least) & ~F.col("w").rlike(r"\d|^\W*$")).select("w").collect())
+    return sorted(w for w in frequent if not _INNER.search(_ELISION.sub("", w)))
 
 
 def neighbours(marked: DataFrame, words: list[str]) -> dict[tuple[str, str], int]:
