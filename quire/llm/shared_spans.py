@@ -152,12 +152,20 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "run": t.hash(c, e), "outer": outer, "inner": t.hash(c, c + STRETCH - REACH),
-                "doc_id": f["doc_id"].to_numpy()[d], "lo": (lo - t.off[d]).astype(np.int32), "hi": (hi - t.off[d]).astype(np.int32), "at": (c - t.off[d]).astype(np.int32),
+                "doc_id": f["doc_id"].to_numpy()[d], "pos": (c - t.off[d]) * PACK + (c - hi),
             }
         )
 
 
-_RUNS = "run long, outer long, inner long, doc_id long, lo int, hi int, at int"
+_RUNS = "run long, outer long, inner long, doc_id long, pos long"
+#: pos holds the cut's position times PACK, and how far before it the last stretch begins. One number shuffles as one field.
+PACK = 128
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    """With the first and the last begin of the stretches in place of pos."""
+    at = F.floor(F.col("pos") / PACK)
+    return df.withColumn("lo", F.greatest(at - REACH, F.lit(0)).cast("int")).withColumn("hi", (at - F.pmod("pos", F.lit(PACK))).cast("int")).drop("pos")
 
 
 def _shared(df: DataFrame, *keys: str) -> DataFrame:
@@ -201,7 +209,7 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     held = cut(runs.join(_shared(runs, "run"), "run", "left_semi"))
     outer = _shared(held, "outer").withColumn("whole", F.lit(True))
     inner = _shared(held, "inner").withColumn("some", F.lit(True))
-    held = cut(held.join(outer, "outer", "left").join(inner, "inner", "left").select("run", "outer", "doc_id", "lo", "hi", "whole", "some").where("some"))
+    held = cut(_unpacked(held.join(outer, "outer", "left").join(inner, "inner", "left").where("some").select("run", "outer", "doc_id", "pos", "whole")))
     # What can hold a partner of a stretch at an end: such rows themselves, and of the rows that are shared whole, one
     # document for each text. They have the run in common.
     open_ = held.where("whole is null").select("run").distinct()
