@@ -45,6 +45,11 @@ def fold(text: str) -> str:
     return re.sub(r"\s+", " ", t.translate(_ALEF).replace("ى", "ي").replace("ـ", "")).strip()
 
 
+def tasks(spark) -> int:
+    """Partitions for work that is heavy for its bytes, which adaptive execution would put together."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # --- the radius join ----------------------------------------------------------------------------------------------
 
 
@@ -125,6 +130,8 @@ def radius_join(names: DataFrame) -> DataFrame:
     d = names.withColumn("d", near).withColumn("least", F.array_min("d")).withColumn("nearest", F.array_position("d", F.col("least")) - 1)
     cells = d.select("script", "name", "nearest", "least", F.posexplode("d").alias("cell", "far")).where(F.col("far") <= F.col("least") + 2 * RADIUS)
     cells = cells.select("script", "name", "cell", (F.col("cell") == F.col("nearest")).alias("home"))
+    # As many partitions as cells: the rows are few bytes, the work on them is not.
+    cells = cells.repartition(2 * len(pivots), "script", "cell")
     return cells.groupBy("script", "cell").applyInPandas(_join_cell, "script string, a string, b string, typos int")
 
 
@@ -261,9 +268,14 @@ def _parse_person(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_person(x) for x in s], columns=["script", "family", "first", "second"])
 
 
+_RESOLVED: dict[int, dict[tuple[str, str], str]] = {}
+
+
 def _resolver(known: dict[str, list[str]]):
-    """given name -> the names it can stand for, joined by blanks; initials and empty ones stay."""
-    memo: dict[tuple[str, str], str] = {}
+    """given name -> the names it can stand for, joined by blanks; initials and empty ones stay. A worker keeps what it found."""
+    memo = _RESOLVED.setdefault(hash(str(known)), {})
+    if len(memo) > 500_000:
+        memo.clear()
 
     def full(script: str, g: str) -> str:
         if len(g) <= 1:
@@ -351,6 +363,7 @@ def persons(mentions: DataFrame) -> DataFrame:
             known.setdefault(r[0], []).append(r[1])
     known = {k: sorted(v) for k, v in known.items()}
     forms = m.groupBy("script", "family", "first", "second").agg(F.count("*").alias("n"))
+    forms = forms.repartition(tasks(m.sparkSession), "script", "family")
     p = forms.groupBy("script", "family").applyInPandas(_persons(known), "script string, family string, first string, second string, n long, person int, g1 string, g2 string, lone boolean")
     p = cut(p.withColumn("pid", F.concat_ws("|", "script", "family", F.col("person").cast("string"))))
     people = p.groupBy("script", "family", "pid").agg(F.sum("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.max("lone").alias("lone"))
