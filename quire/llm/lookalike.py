@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.skew import hot_join, hot_keys
+from quire.session import cut
 from quire.sources.tables import table
 
 # Cyrillic and Greek letters that print like a Latin one.
@@ -134,6 +135,7 @@ def variant_words(words: DataFrame, key: str, group: str, order: str) -> DataFra
     look-alike letters only is one if the Latin word with its skeleton occurs more often than it.
     """
     w = words.select(key, group, order, "text").where(F.col("text").isNotNull() & (F.col("text") != "") & ~_has(F.col("text"), PLAIN))
+    w = cut(w)  # it is looked through several times
     t = F.col("text")
     definite = _has(t, HIDDEN) | _has(t, VARIANT)
     arab = _has(t, r"[\x{0620}-\x{064A}\x{0660}-\x{0669}\x{066E}-\x{06D3}\x{06F0}-\x{06FF}]")
