@@ -108,7 +108,7 @@ def probe(refs: DataFrame, parents: DataFrame, per_task: int = PER_TASK) -> Data
     arrays = arrays.select(
         "rng", F.col("s.k").alias("ks"), F.col("s.alive").alias("alive"), F.col("s.since").alias("since"), F.explode(F.sequence(F.lit(0), (fan - 1).cast("int"))).alias("part")
     )
-    return r.groupBy("rng", "part").cogroup(arrays.groupBy("rng", "part")).applyInPandas(lambda a, b: _probe(a, b) if len(a) else a.assign(reason=None)[["child", "parent", "row_id", "loaded", "reason"]], PROBED)
+    return r.groupBy("rng", "part").cogroup(arrays.groupBy("rng", "part")).applyInPandas(lambda a, b: _probe(a, b) if len(a) else pd.DataFrame(columns=["child", "parent", "row_id", "loaded", "reason"]), PROBED)
 
 
 def orphan_report(probed: DataFrame) -> DataFrame:
