@@ -60,4 +60,4 @@ def match_lines(gold: DataFrame, pred: DataFrame) -> DataFrame:
     gold, pred: (page_id, id, box ARRAY<DOUBLE>, text). A page is one group, its lines are bounded by its size.
     """
     cols = ["page_id", "id", "box", "text"]
-    return gold.select(*cols).groupBy("page_id").cogroup(pred.select(*cols).groupBy("page_id")).applyInPandas(_match, "page_id string, gold string, pred string, score double")
+    return gold.select(*cols).groupBy("page_id").cogroup(pred.select(*[F.col(x).alias(x) for x in cols]).groupBy("page_id")).applyInPandas(_match, "page_id string, gold string, pred string, score double")

@@ -46,7 +46,7 @@ def score_pages(gold: DataFrame, pred: DataFrame) -> DataFrame:
     gold, pred: (page_id, pos, text). A page with no prediction is all errors. A page is one group.
     """
     c = ["page_id", "pos", "text"]
-    return gold.select(*c).groupBy("page_id").cogroup(pred.select(*c).groupBy("page_id")).applyInPandas(_score, _PAGE)
+    return gold.select(*c).groupBy("page_id").cogroup(pred.select(*[F.col(x).alias(x) for x in c]).groupBy("page_id")).applyInPandas(_score, _PAGE)
 
 
 def micro(pages: DataFrame, *by: str) -> DataFrame:
