@@ -120,17 +120,26 @@ def level_jump(s, d):
 
 @query("""WITH b AS (SELECT stem, page, ord, block_pk, CAST(sum(CASE WHEN role = 'title' THEN 1 ELSE 0 END) OVER (PARTITION BY stem ORDER BY page, ord, block_pk) AS BIGINT) AS section FROM blocks) SELECT stem, section, count(*) AS blocks, min(page) AS first_page, max(page) AS last_page FROM b GROUP BY 1, 2""")
 def section_islands(s, d):
-    w = Window.partitionBy("stem").orderBy("page", "ord", "block_pk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = t(s, d, "blocks").withColumn("section", F.sum(F.when(F.col("role") == "title", 1).otherwise(0)).over(w))
+    """The running count goes over pages first, then within a page: a long article isn't one task's rows."""
+    title = F.when(F.col("role") == "title", 1).otherwise(0)
+    b = t(s, d, "blocks").select("stem", "page", "ord", "block_pk", title.alias("is_title"))
+    w = Window.partitionBy("stem").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = b.groupBy("stem", "page").agg(F.sum("is_title").alias("k")).withColumn("base", F.coalesce(F.sum("k").over(w), F.lit(0))).drop("k")
+    within = Window.partitionBy("stem", "page").orderBy("ord", "block_pk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.join(pages, ["stem", "page"]).withColumn("section", F.col("base") + F.sum("is_title").over(within))
     return b.groupBy("stem", "section").agg(F.count("*").alias("blocks"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
 @query("""WITH m AS (SELECT DISTINCT stem, page, backref, target FROM ibid_draw WHERE page IS NOT NULL) SELECT stem, page, backref, target,
   last_value(target IGNORE NULLS) OVER (PARTITION BY stem ORDER BY page, backref, target NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS resolved FROM m""")
 def previous_mention(s, d):
+    """Over pages first, then within a page, as section_islands."""
     m = t(s, d, "ibid_draw").where("page is not null").select("stem", "page", "backref", "target").distinct()
-    w = Window.partitionBy("stem").orderBy("page", "backref", F.asc_nulls_first("target")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return m.withColumn("resolved", F.last("target", ignorenulls=True).over(w))
+    w = Window.partitionBy("stem").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    last = m.groupBy("stem", "page").agg(F.max(F.when(F.col("target").isNotNull(), F.struct("backref", "target"))).alias("x"))
+    base = last.select("stem", "page", F.last("x.target", ignorenulls=True).over(w).alias("base"))
+    within = Window.partitionBy("stem", "page").orderBy("backref", F.asc_nulls_first("target")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return m.join(base, ["stem", "page"]).withColumn("resolved", F.coalesce(F.last("target", ignorenulls=True).over(within), "base")).drop("base")
 
 
 @query("""WITH p AS (SELECT DISTINCT stem, page FROM blocks), g AS (SELECT stem, page, page - row_number() OVER (PARTITION BY stem ORDER BY page) AS k FROM p), r AS (SELECT stem, k, min(page) AS a, max(page) AS b FROM g GROUP BY 1, 2)
