@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import fold_word, plain_form
@@ -45,6 +45,7 @@ _PURE = re.compile(rf"^(?:{_PAGE}|{_NUMBER})$")
 _BEFORE, _AFTER = re.compile(rf"^(?:{_PAGE}|{_NUMBER})\s+(?=\S)"), re.compile(rf"(?<=\S)\s+(?:{_PAGE}|{_NUMBER})$")
 # With a sign beside the number: such a line says itself that it is a head or foot.
 _SIGNED = re.compile(rf"^{_PAGE}\s+\S|\S\s+{_PAGE}$")
+_ROMAN = re.compile(r"^[ivxlc]+$")
 _ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|er|e|a|o|º|ª)$")
 _LETTERS = re.compile(r"[^\W\d_]")
 
@@ -294,7 +295,7 @@ class Reader:
 
     def misread(self, core: str) -> bool:
         """Whether the word (its core learned before) is a misread one."""
-        if not core or core in self.known or not _LETTERS.search(core):
+        if not core or core in self.known or not _LETTERS.search(core) or _ROMAN.match(core):
             return False
         if _ELISION.match(core) and _ELISION.sub("", core) in self.known:
             return False
@@ -380,8 +381,11 @@ def neighbours(marked: DataFrame, words: list[str]) -> dict[tuple[str, str], int
     return {(r[0], r[1]): r[2] for r in c.where(F.col("n") >= least).collect()}
 
 
-def judge(text: str, gone, reader: Reader) -> list[tuple[int, str]]:
-    """(place of the word, kind) for what is wrong with the words of a block; call reader.learn before."""
+def judge(text: str, gone, reader: Reader, continued: bool = False) -> list[tuple[int, str]]:
+    """(place of the word, kind) for what is wrong with the words of a block; call reader.learn before.
+
+    continued: the block begins with the second half of a word; that is nothing to look up.
+    """
     out = []
     if gone is not None and len(gone):
         off, k = set(gone), 0
@@ -402,7 +406,7 @@ def judge(text: str, gone, reader: Reader) -> list[tuple[int, str]]:
                 out.append((parts[0 if first else 1][0], "misread"))
         elif j == len(units) - 1 and parts[0][3] and _broken(parts[0][2]):
             out.append((parts[0][0], "hyphen"))
-        elif reader.misread(core):
+        elif reader.misread(core) and not (continued and j == 0):
             out.append((parts[0][0], "misread"))
     return out
 
@@ -411,7 +415,7 @@ def _judged(reader: Reader):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             reader.learn(c for text, gone in zip(f["text"], f["gone"]) for _, c in _units(_tokens(text, gone)))
-            rows = [(pk, o, k) for pk, text, gone in zip(f["block_pk"], f["text"], f["gone"]) for o, k in judge(text, gone, reader)]
+            rows = [(pk, o, k) for pk, text, gone, c in zip(f["block_pk"], f["text"], f["gone"], f["continued"].fillna(False)) for o, k in judge(text, gone, reader, bool(c))]
             yield pd.DataFrame(rows, columns=["block_pk", "ord", "kind"])
 
     return run
@@ -445,6 +449,17 @@ def _held_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n", "journal", "stem", "pure", "keys", "fit"])
 
 
+def continued(marked: DataFrame) -> DataFrame:
+    """(block_pk, continued): whether the block before it on the page ends in a broken word, or, for a page's first block, one
+    of the page before (notes and cells may stand between)."""
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    b = marked.select("block_pk", "stem", "page", "ord", kept.alias("kept")).where(F.size("kept") > 0)
+    b = b.select("block_pk", "stem", "page", "ord", F.element_at("kept", -1).rlike(rf"\p{{L}}[{HYPHENS}]+\s*$").alias("broken"))
+    before = F.last("broken").over(Window.partitionBy("stem", "page").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1))
+    ends = b.groupBy("stem", (F.col("page") + 1).alias("page")).agg(F.max("broken").alias("page_before"))
+    return b.withColumn("before", before).join(ends, ["stem", "page"], "left").select("block_pk", F.coalesce("before", "page_before", F.lit(False)).alias("continued"))
+
+
 def _learned(spark, root: str):
     blocks = table(spark, root, "blocks")
     furniture = Furniture(blocks)
@@ -455,7 +470,7 @@ def _learned(spark, root: str):
 def p2_found(spark, root: str) -> DataFrame:
     furniture, marked, words = _learned(spark, root)
     reader = Reader(words)
-    found = marked.select("block_pk", "text", "gone").mapInPandas(_judged(reader), "block_pk long, ord int, kind string")
+    found = marked.join(continued(marked), "block_pk", "left").select("block_pk", "text", "gone", "continued").mapInPandas(_judged(reader), "block_pk long, ord int, kind string")
     keys = table(spark, root, "words").select("block_pk", F.col("ord").cast("int").alias("ord"), "word_pk")
     of_words = keys.join(found, ["block_pk", "ord"]).select(F.lit("words").alias("tbl"), F.col("word_pk").alias("row_id"), "kind").distinct()
     held = table(spark, root, "heldout_blocks").where(F.col("text").isNotNull()).select(F.col("n").cast("long").alias("n"), F.col("doc").alias("stem"), "text")
