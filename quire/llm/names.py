@@ -268,28 +268,40 @@ def _parse_person(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_person(x) for x in s], columns=["script", "family", "first", "second"])
 
 
-_RESOLVED: dict[int, dict[tuple[str, str], str]] = {}
+_RESOLVED: dict[int, tuple[dict, dict]] = {}
 
 
 def _resolver(known: dict[str, list[str]]):
     """given name -> the names it can stand for, joined by blanks; initials and empty ones stay. A worker keeps what it found."""
-    memo = _RESOLVED.setdefault(hash(str(known)), {})
-    if len(memo) > 500_000:
-        memo.clear()
+    key = hash(str(known))
+    if key not in _RESOLVED or len(_RESOLVED[key][0]) > 500_000:
+        lists = {k: sorted({*v, *NICKNAMES}) for k, v in known.items()}
+        _RESOLVED[key] = {}, {k: (v, *codes(v)) for k, v in lists.items()}
+    memo, tables = _RESOLVED[key]
+
+    def close(script: str, g: str) -> list[str]:
+        if script not in tables:
+            return []
+        names, m, n = tables[script]
+        near = np.flatnonzero(np.abs(n - len(g)) <= 2)
+        if len(near) == 0:
+            return []
+        q, k = codes([g])
+        d = distances(np.repeat(q, len(near), axis=0), np.repeat(k, len(near)), m[near], n[near])
+        d = [(1 if x == 2 and swapped(g, names[i]) else int(x), names[i]) for i, x in zip(near, d)]
+        least = min(x for x, _ in d)
+        return [w for x, w in d if x == least] if least <= (1 if len(g) <= 4 else 2) else []
 
     def full(script: str, g: str) -> str:
         if len(g) <= 1:
             return g
         if (script, g) not in memo:
-            names = known.get(script, [])
             if g in NICKNAMES:
                 v = NICKNAMES[g]
-            elif g in names:
+            elif g in known.get(script, ()):
                 v = g
             else:
-                d = sorted((1 if swapped(g, x) else distance(g, x, 2), x) for x in [*names, *NICKNAMES])
-                close = [x for k, x in d if k == d[0][0]] if d and d[0][0] <= (1 if len(g) <= 4 else 2) else []
-                v = " ".join(sorted({y for x in close for y in NICKNAMES.get(x, x).split()})) or g
+                v = " ".join(sorted({y for x in close(script, g) for y in NICKNAMES.get(x, x).split()})) or g
             memo[script, g] = v
         return memo[script, g]
 
@@ -316,12 +328,15 @@ def _persons(known: dict[str, list[str]]):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         """One family name's forms: the fullest first, each joins the one person it agrees with; with several it stays alone."""
         full = _resolver(known)
-        f = f.assign(g1=[full(a, b) for a, b in zip(f["script"], f["first"])], g2=[full(a, b) for a, b in zip(f["script"], f["second"])])
-        f["w"] = [_weight(a, b) for a, b in zip(f["g1"], f["g2"])]
-        f = f.sort_values(["w", "n", "first", "second"], ascending=[False, False, True, True]).reset_index(drop=True)
+        script, family = f["script"].iloc[0], f["family"].iloc[0]
+        rows = []
+        for first, second, n in zip(f["first"].tolist(), f["second"].tolist(), f["n"].tolist()):
+            a, b = full(script, first), full(script, second)
+            rows.append((-_weight(a, b), -n, first, second, a, b))
         people: list[list] = []
         who = []
-        for a, b in zip(f["g1"], f["g2"]):
+        rows.sort()
+        for *_, a, b in rows:
             fits = [k for k, p in enumerate(people) if agree(a, p[0]) and agree(b, p[1])]
             same = [k for k in fits if people[k][:2] == [a, b]]
             if same or len(fits) == 1:
@@ -332,10 +347,8 @@ def _persons(known: dict[str, list[str]]):
             else:
                 people.append([a, b, len(fits) > 1])
                 who.append(len(people) - 1)
-        f["person"] = who
-        g1, g2 = [people[k][0] for k in who], [people[k][1] for k in who]
-        lone = [people[k][2] for k in who]
-        return pd.DataFrame({"script": f["script"], "family": f["family"], "first": f["first"], "second": f["second"], "n": f["n"], "person": f["person"].astype("int32"), "g1": g1, "g2": g2, "lone": lone})
+        out = [(script, family, r[2], r[3], -r[1], k, *people[k]) for r, k in zip(rows, who)]
+        return pd.DataFrame(out, columns=["script", "family", "first", "second", "n", "person", "g1", "g2", "lone"])
 
     return run
 
