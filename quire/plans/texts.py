@@ -21,6 +21,8 @@ def query(sql: str | None = None):
     return add
 
 
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 20_000
 #: ASCII words in lower case; both engines agree on them.
 WORDS = "string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')"
 
@@ -204,13 +206,19 @@ def id_parts(s, d):
 @query("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q, vec_id, label, round(list_sum(list_transform(list_zip(e, embedding), lambda p: power(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), 6) AS dist FROM q JOIN embeddings ON q <> vec_id)
   SELECT q, arg_min(vec_id, (dist, vec_id)) AS nearest, arg_min(label, (dist, vec_id)) AS label, min(dist) AS dist FROM d GROUP BY 1""")
 def nearest_template(s, d):
-    """The queries, a fixed set, are sent to all vectors; each keeps its nearest so far (partial aggregation)."""
+    """The queries are a stated set; they are sent to all vectors in blocks of QUERY_BLOCK, and the nearest are kept by partial aggregation."""
     e = t(s, d, "embeddings")
-    q = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))) if e.where("vec_id % 50 = 0").count() <= 50_000 else e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     dist = F.round(F.aggregate(F.zip_with("e", "embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, b: a + b), 6)
-    x = e.join(q, F.col("q") != F.col("vec_id")).select("q", "vec_id", "label", dist.alias("dist"))
     k = F.struct("dist", "vec_id")
-    return x.groupBy("q").agg(F.min_by("vec_id", k).alias("nearest"), F.min_by("label", k).alias("label"), F.min("dist").alias("dist"))
+    out = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) if blocks > 1 else asked
+        x = e.join(F.broadcast(part), F.col("q") != F.col("vec_id")).select("q", "vec_id", "label", dist.alias("dist"))
+        x = x.groupBy("q").agg(F.min_by("vec_id", k).alias("nearest"), F.min_by("label", k).alias("label"), F.min("dist").alias("dist"))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @query("""WITH k AS (SELECT doc_id, coalesce(lang, '-') AS lang, row_number() OVER (PARTITION BY coalesce(lang, '-') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS n FROM documents) SELECT doc_id, lang FROM k WHERE n <= 5""")
