@@ -59,7 +59,7 @@ canned(
 )
 canned(
     "text_search_snippet", ["documents"],
-    """SELECT doc_id, instr(lower(text), :word) AS at, substr(text, greatest(1, instr(lower(text), :word) - 20), 60) AS snippet FROM {documents} WHERE instr(lower(text), :word) > 0 AND (:lang = '' OR lang = :lang)""",
+    """SELECT doc_id, CAST(instr(lower(text), :word) AS BIGINT) AS at, substr(text, greatest(1, instr(lower(text), :word) - 20), 60) AS snippet FROM {documents} WHERE instr(lower(text), :word) > 0 AND (:lang = '' OR lang = :lang)""",
     word="curriculum", lang="eng",
 )
 canned(
