@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import orphans
-from quire.plans import canned, citations, quality, texts
+from quire.plans import canned, citations, quality, scripts, texts
 from quire.streaming import windows
 
-MODULES = [citations, canned, texts, quality, windows, orphans]
+MODULES = [citations, canned, texts, scripts, quality, windows, orphans]
 
 
 def queries() -> dict:

@@ -1,0 +1,87 @@
+"""The text queries over letters of every script.
+
+Those of `texts.py` that bear the same name keep only A-Z and digits, as their SQL does; these fold by Unicode, which
+DuckDB can't follow, so they have no SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions import text as X
+from quire.plans.citations import t
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _seen(c):
+    return F.regexp_replace(X.nfkc(F.col(c)), r"\p{Cf}+", "")
+
+
+def folded(c="text"):
+    """Words of letters, marks and digits of any script, folded, parted by one blank."""
+    return F.trim(F.regexp_replace(X.normalize(_seen(c), "db_fold"), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def words(c="text"):
+    return F.filter(F.split(folded(c), " "), lambda w: w != "")
+
+
+def exact_key(c="text"):
+    """Letters and digits as they are; letters that only resemble each other (as those of Persian and Arabic) stay apart."""
+    return F.regexp_replace(X.fold_digits(X.strip_marks(_seen(c))), r"[^\p{L}\p{M}\p{N}]+", "")
+
+
+@query
+def folded_token_counts_unicode(s, d):
+    return t(s, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("docs"), F.sum(F.size(words())).cast("long").alias("words"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def word_list_learning_unicode(s, d):
+    return t(s, d, "words").select(F.explode(words()).alias("word")).where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query
+def lexicon_doc_frequency_unicode(s, d):
+    return t(s, d, "documents").select("doc_id", F.explode(F.array_distinct(words())).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where("docs >= 5")
+
+
+@query
+def exact_duplicates_unicode(s, d):
+    k = t(s, d, "documents").select("doc_id", exact_key().alias("k")).where("k <> ''")
+    return k.groupBy(F.md5("k").alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
+
+
+@query
+def same_title_candidates_unicode(s, d):
+    a = t(s, d, "articles").select("stem", "issue_id", F.array_distinct(words("title")).alias("w")).where("size(w) > 0").distinct()
+    b = a.select(F.col("stem").alias("stem_b"), "issue_id", F.col("w").alias("v"))
+    x = a.join(b, "issue_id").where("stem < stem_b").withColumn("share", X.tokset("w", "v")).where("share >= 0.3")
+    return x.groupBy(F.col("stem").alias("stem_a"), "stem_b").agg(F.round(F.max("share"), 6).alias("share"))
+
+
+@query
+def quotation_seeds_unicode(s, d):
+    grams = lambda n, k: t(s, d, n).select(k, words().alias("w")).select(k, F.explode(X.ngrams(F.col("w"), 2)).alias("g")).distinct()
+    return grams("documents", "doc_id").join(grams("eval_items", "item_id"), "g").groupBy("item_id").agg(F.count("*").alias("seeds"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query
+def title_inside_text_unicode(s, d):
+    a = t(s, d, "articles").select("stem", folded("title").alias("k")).where("length(k) >= 8")
+    o = t(s, d, "documents").select("stem", "doc_id", folded().alias("body"))
+    return a.join(o, "stem").where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "k", F.lit(" ")))).select("stem", "doc_id").distinct()
+
+
+@query
+def cer_by_journal_unicode(s, d):
+    k = F.struct("loaded", "block_pk")
+    o = t(s, d, "blocks").withColumn("x", X.squeeze(X.nfc(F.col("text")))).groupBy("stem", "block_id").agg(F.min_by("x", k).alias("a"), F.max_by("x", k).alias("b"), F.count("*").alias("n")).where("n > 1")
+    x = o.groupBy(F.substring_index("stem", "-", 1).alias("journal")).agg(F.count("*").alias("blocks"), F.sum(F.levenshtein("a", "b").cast("long")).alias("errors"), F.sum(F.length("a").cast("long")).alias("chars"))
+    return x.withColumn("cer", F.round(F.try_divide(F.col("errors"), F.col("chars")), 6))
