@@ -212,12 +212,16 @@ NICKNAMES = {
     "pat": "patricia", "mohamed": "mohammed", "muhammad": "mohammed", "layla": "leila", "paco": "francisco", "dan": "daniel", "ebrahim": "ibrahim", "joe": "joseph", "heinz": "heinrich",
     "peggy": "margaret", "maggie": "margaret", "alex": "alexander", "sandy": "alexander", "fatma": "fatima", "nick": "nicholas", "betty": "elizabeth", "liz": "elizabeth", "kate": "katherine",
     "catherine": "katherine", "bob": "robert", "rob": "robert", "will": "william", "bill": "william", "yousef": "yusuf", "youssef": "yusuf", "hossein": "hussein", "husayn": "hussein",
+    "jim": "james", "jimmy": "james", "jamie": "james", "dick": "richard", "rick": "richard", "richie": "richard", "jack": "john", "johnny": "john", "harry": "henry", "hank": "henry", "charlie": "charles", "chuck": "charles",
+    "dave": "david", "steve": "stephen steven", "andy": "andrew", "greg": "gregory", "jeff": "jeffrey", "ken": "kenneth", "larry": "lawrence", "matt": "matthew", "ben": "benjamin", "phil": "philip", "tim": "timothy",
+    "sue": "susan", "jenny": "jennifer", "becky": "rebecca", "debbie": "deborah", "cathy": "katherine", "nancy": "anne", "beth": "elizabeth", "lizzie": "elizabeth", "molly": "mary", "pepe": "jose", "sepp": "josef", "fritz": "friedrich",
+    "klaus": "nikolaus", "toni": "anton", "nacho": "ignacio",
     "سلمان": "سليمان", "زينه": "زينب", "رشاد": "رشيد", "طاها": "طه", "ابويعقوب": "يوسف", "ابوعلي": "حسين", "ابوالوليد": "خالد", "ابوحفص": "عمر", "ابوالقاسم": "محمد", "ابوالثناء": "محمود",
     "ابواسحاق": "ابراهيم", "ابوالحسن": "علي",
 }
 TITLES = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms)\b\.?|ا\.\s?د\.|د\.|ا\.(?=\s?د\.)|الاستاذ|الدكتور|الاستاذه|الدكتوره)\s*")
-#: A given name counts as one that exists if it makes up this share of all given names in its script.
-GIVEN_SHARE = 0.004
+#: A spelling of a given name can be a misspelt one of another that so many times as many mentions use, and so many at least.
+GIVEN_TIMES, GIVEN_LEAST = 5, 3
 
 
 def parse_person(name: str) -> tuple[str, str, str, str]:
@@ -268,44 +272,26 @@ def _parse_person(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_person(x) for x in s], columns=["script", "family", "first", "second"])
 
 
-_RESOLVED: dict[int, tuple[dict, dict]] = {}
-
-
-def _resolver(known: dict[str, list[str]]):
-    """given name -> the names it can stand for, joined by blanks; initials and empty ones stay. A worker keeps what it found."""
-    key = hash(str(known))
-    if key not in _RESOLVED or len(_RESOLVED[key][0]) > 500_000:
-        lists = {k: sorted({*v, *NICKNAMES}) for k, v in known.items()}
-        _RESOLVED[key] = {}, {k: (v, *codes(v)) for k, v in lists.items()}
-    memo, tables = _RESOLVED[key]
-
-    def close(script: str, g: str) -> list[str]:
-        if script not in tables:
-            return []
-        names, m, n = tables[script]
-        near = np.flatnonzero(np.abs(n - len(g)) <= 2)
-        if len(near) == 0:
-            return []
-        q, k = codes([g])
-        d = distances(np.repeat(q, len(near), axis=0), np.repeat(k, len(near)), m[near], n[near])
-        d = [(1 if x == 2 and swapped(g, names[i]) else int(x), names[i]) for i, x in zip(near, d)]
-        least = min(x for x, _ in d)
-        return [w for x, w in d if x == least] if least <= (1 if len(g) <= 4 else 2) else []
-
-    def full(script: str, g: str) -> str:
-        if len(g) <= 1:
-            return g
-        if (script, g) not in memo:
-            if g in NICKNAMES:
-                v = NICKNAMES[g]
-            elif g in known.get(script, ()):
-                v = g
-            else:
-                v = " ".join(sorted({y for x in close(script, g) for y in NICKNAMES.get(x, x).split()})) or g
-            memo[script, g] = v
-        return memo[script, g]
-
-    return full
+def given_names(given: DataFrame) -> DataFrame:
+    """(script, g, full): for each of the given names (script, g, n) those it can stand for, joined by blanks.
+
+    A spelling goes to the nearest ones around it (one letter apart, two from five letters on) that GIVEN_TIMES as many
+    mentions use and that don't go elsewhere themselves; a rare one also to a nickname. Short forms stand for their full ones.
+    """
+    spark = given.sparkSession
+    short = spark.createDataFrame(list(NICKNAMES.items()), "g string, means string")
+    script = F.when(F.col("g").rlike("[a-z]"), "latin").otherwise("other")
+    every = given.select("script", "g", "n").unionByName(short.select(script.alias("script"), "g", F.lit(0).cast("long").alias("n")))
+    every = cut(every.groupBy("script", "g").agg(F.sum("n").alias("n")).join(short, "g", "left"))
+    near = radius_join(every.select("script", F.col("g").alias("name")))
+    side = lambda x: every.select("script", F.col("g").alias(x), F.col("n").alias(f"n_{x}"), F.col("means").alias(f"means_{x}"))
+    up = near.join(side("a"), ["script", "a"]).join(side("b"), ["script", "b"]).where((F.col("n_a") > 0) & F.col("means_a").isNull() & (F.col("typos") <= F.when(F.length("a") <= 4, 1).otherwise(2)))
+    up = cut(up.where(((F.col("n_b") >= GIVEN_LEAST) & (GIVEN_TIMES * F.col("n_a") <= F.col("n_b"))) | (F.col("means_b").isNotNull() & (F.col("n_a") <= FEW))))
+    up = up.join(up.select("script", F.col("a").alias("b")).distinct(), ["script", "b"], "left_anti")
+    least = up.groupBy("script", "a").agg(F.min("typos").alias("typos"))
+    to = up.join(least, ["script", "a", "typos"]).select("script", F.col("a").alias("g"), F.explode(F.split(F.coalesce("means_b", "b"), " ")).alias("w"))
+    to = to.groupBy("script", "g").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("w"))
+    return every.where("n > 0").join(to, ["script", "g"], "left").select("script", "g", F.coalesce("w", "means", "g").alias("full"))
 
 
 def agree(a: str, b: str) -> bool:
@@ -324,33 +310,26 @@ def _weight(f: str, s: str) -> int:
     return 10 * w(f) + w(s)
 
 
-def _persons(known: dict[str, list[str]]):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        """One family name's forms: the fullest first, each joins the one person it agrees with; with several it stays alone."""
-        full = _resolver(known)
-        script, family = f["script"].iloc[0], f["family"].iloc[0]
-        rows = []
-        for first, second, n in zip(f["first"].tolist(), f["second"].tolist(), f["n"].tolist()):
-            a, b = full(script, first), full(script, second)
-            rows.append((-_weight(a, b), -n, first, second, a, b))
-        people: list[list] = []
-        who = []
-        rows.sort()
-        for *_, a, b in rows:
-            fits = [k for k, p in enumerate(people) if agree(a, p[0]) and agree(b, p[1])]
-            same = [k for k in fits if people[k][:2] == [a, b]]
-            if same or len(fits) == 1:
-                k = (same or fits)[0]
-                if len(people[k][1]) < 2 and len(b) > 1:
-                    people[k][1] = b
-                who.append(k)
-            else:
-                people.append([a, b, len(fits) > 1])
-                who.append(len(people) - 1)
-        out = [(script, family, r[2], r[3], -r[1], k, *people[k]) for r, k in zip(rows, who)]
-        return pd.DataFrame(out, columns=["script", "family", "first", "second", "n", "person", "g1", "g2", "lone"])
-
-    return run
+def _persons(f: pd.DataFrame) -> pd.DataFrame:
+    """One family name's forms: the fullest first, each joins the one person it agrees with; with several it stays alone."""
+    script, family = f["script"].iloc[0], f["family"].iloc[0]
+    rows = [(-_weight(a, b), -n, first, second, a, b) for first, second, n, a, b in zip(f["first"].tolist(), f["second"].tolist(), f["n"].tolist(), f["g1"].tolist(), f["g2"].tolist())]
+    people: list[list] = []
+    who = []
+    rows.sort()
+    for *_, a, b in rows:
+        fits = [k for k, p in enumerate(people) if agree(a, p[0]) and agree(b, p[1])]
+        same = [k for k in fits if people[k][:2] == [a, b]]
+        if same or len(fits) == 1:
+            k = (same or fits)[0]
+            if len(people[k][1]) < 2 and len(b) > 1:
+                people[k][1] = b
+            who.append(k)
+        else:
+            people.append([a, b, len(fits) > 1])
+            who.append(len(people) - 1)
+    out = [(script, family, r[2], r[3], -r[1], k, *people[k]) for r, k in zip(rows, who)]
+    return pd.DataFrame(out, columns=["script", "family", "first", "second", "n", "person", "g1", "g2", "lone"])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -369,15 +348,12 @@ def persons(mentions: DataFrame) -> DataFrame:
     m = cut(mentions.where(F.trim("authors") != "").withColumn("p", _parse_person("authors")).select("draw_id", "p.*").where("family <> ''"))
     given = m.select("script", F.explode(F.array("first", "second")).alias("g")).where(F.length("g") > 1)
     counts = given.groupBy("script", "g").agg(F.count("*").alias("n"))
-    total = counts.groupBy("script").agg(F.sum("n").alias("all"))
-    known: dict[str, list[str]] = {}
-    for r in counts.join(total, "script").where(F.col("n") >= F.greatest(F.lit(3), GIVEN_SHARE * F.col("all"))).select("script", "g").collect():
-        if r[1] not in NICKNAMES:
-            known.setdefault(r[0], []).append(r[1])
-    known = {k: sorted(v) for k, v in known.items()}
+    full = cut(given_names(counts))
     forms = m.groupBy("script", "family", "first", "second").agg(F.count("*").alias("n"))
+    for name, g in (("first", "g1"), ("second", "g2")):
+        forms = forms.join(full.select("script", F.col("g").alias(name), F.col("full").alias(g)), ["script", name], "left").withColumn(g, F.coalesce(g, name))
     forms = forms.repartition(tasks(m.sparkSession), "script", "family")
-    p = forms.groupBy("script", "family").applyInPandas(_persons(known), "script string, family string, first string, second string, n long, person int, g1 string, g2 string, lone boolean")
+    p = forms.groupBy("script", "family").applyInPandas(_persons, "script string, family string, first string, second string, n long, person int, g1 string, g2 string, lone boolean")
     p = cut(p.withColumn("pid", F.concat_ws("|", "script", "family", F.col("person").cast("string"))))
     people = p.groupBy("script", "family", "pid").agg(F.sum("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.max("lone").alias("lone"))
     near = radius_join(p.select("script", F.col("family").alias("name")).distinct())

@@ -71,3 +71,18 @@ def test_organisations(spark):
     for n, k in o.items():
         groups.setdefault(k, set()).add(n)
     assert sorted(map(len, groups.values())) == [2, 2, 4] and "" not in o
+
+
+def test_many_given_names(spark):
+    """No given name makes up a share of all worth the name: misspelt ones are found by their number all the same."""
+    import random
+
+    pick = random.Random(3)
+    given = sorted({"".join(pick.choice("bcdfghklmnprstvz") + pick.choice("aeiou") for _ in range(5)) for _ in range(400)})
+    rows = [f"{g} Fam{'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10] * 3}{'uvwxy'[i // 100] * 3}" for i, g in enumerate(given) for _ in range(5)]
+    rows += [given[7] + "q Zuluka"] + [given[7] + " Zuluka"] + ["Jim Bokaruna", "James Bokaruna", "Dick Bokaruna"]
+    p = [r["person"] for r in N.persons(spark.createDataFrame(list(enumerate(rows)), "draw_id long, authors string")).orderBy("draw_id").collect()]
+    assert p[-5] == p[-4] and p[-3] == p[-2] != p[-1]
+    # A rare name near a name that is hardly more frequent stays what it is.
+    n = spark.createDataFrame([("latin", "hannah", 3), ("latin", "hannas", 4), ("latin", "hannan", 15)], "script string, g string, n long")
+    assert {r["g"]: r["full"] for r in N.given_names(n).collect()} == {"hannah": "hannan", "hannas": "hannas", "hannan": "hannan"}
