@@ -2,10 +2,12 @@
 
 Page furniture first: lines above the text's upper edge or at the page's foot, lines at the bottom that are a page number,
 and running heads, i.e. lines that come back on other pages of the article or in other articles of the journal, exactly
-or nearly. Then words: halves of
-words broken at line ends are joined; a word that the vocabulary lacks is looked up in a trie of it, intersected with the
-word's Levenshtein automaton (bit-parallel, for many words at once), which gives every candidate there is; of these the
-one that fits the neighbouring words best is the reading. At last the text is reflown into paragraphs.
+or nearly. Then words: halves of words broken at line ends are joined. All kinds of words there are, with their numbers,
+are looked up in tries of the more frequent ones, intersected with their Levenshtein automata (bit-parallel, for many
+words at once), which gives every candidate there is. How often scanning makes one character out of another is estimated
+from all these pairs; a kind of word that is no more frequent than its candidate's misreadings would be is a misread one.
+Of a misread word's candidates the one that fits the neighbouring words best is the reading. At last the text is reflown
+into paragraphs.
 """
 
 from __future__ import annotations
@@ -24,10 +26,19 @@ from quire.llm.lookalike import fold_word, plain_form
 from quire.session import cut
 from quire.sources.tables import table
 
-#: A word is in the vocabulary if it makes up this share of all words, so the vocabulary has at most 40,000 words.
-VOCABULARY_SHARE, VOCABULARY_LEAST = 2.5e-5, 3
-#: Likewise for pairs of neighbours; at most 200,000.
-PAIR_SHARE, PAIR_LEAST = 5e-6, 3
+#: A candidate is so many times as frequent as the word that can be its misreading; this and no share of all words tells
+#: what may be a reading, so words of any rarity are judged.
+TIMES = 10
+#: A word is a misread one if it is at most so many times as frequent as expected, and so many more.
+BEYOND, STRAY = 8, 2
+#: Likewise at less than this share of the candidate's number, which no word of its own has been seen to have.
+TRACE = 1 / 500
+#: Of one pair's number, the share of the candidate's that goes into the estimate at most; the rest is a word of its own.
+PAIR_MOST = 0.05
+#: Words of a trie and words looked up in it by one task; more words make more tries.
+TRIE_WORDS, ASKED_WORDS = 20_000, 100_000
+#: So many of the most frequent words that aren't misread are known to every task, which then needn't ask for them.
+FREQUENT = 50_000
 #: Words of a running head at most; pages or articles that must have it.
 HEAD_WORDS, HEAD_PAGES, HEAD_STEMS = 12, 2, 2
 #: A head's form (its common words, the others left open) must be that of so many journals.
@@ -266,55 +277,103 @@ def readings(core: str, trie: Trie) -> list[str]:
     return out
 
 
-class Reader:
-    """Judges words against the vocabulary. Candidates of words seen before are kept."""
-
-    def __init__(self, vocabulary: list[str], pairs: dict[tuple[str, str], int] | None = None):
-        latin = [w for w in vocabulary if "a" <= w[0] <= "ɏ"]
-        self.tries = (Trie(latin), Trie([w for w in vocabulary if not "a" <= w[0] <= "ɏ"]))
-        self.known = self.tries[0].known | self.tries[1].known
-        self.pairs = pairs or {}
-        self.memo: dict[str, list[str]] = {}
-
-    def trie(self, core: str) -> Trie:
-        m = _LETTERS.search(core)
-        return self.tries[0 if m and m[0] <= "ɏ" else 1]
-
-    def learn(self, cores) -> None:
-        """Finds the candidates of all cores that aren't known yet."""
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        fresh = [c for c in set(cores) if c not in self.memo and c not in self.known]
-        for trie in self.tries:
-            mine = [c for c in fresh if 1 < len(c) <= LONGEST_WORD and self.trie(c) is trie and _LETTERS.search(c)]
-            for c, near in zip(mine, trie.near(mine)):
-                more = readings(c, trie)
-                self.memo[c] = list(dict.fromkeys(more + near))
-        for c in fresh:
-            self.memo.setdefault(c, [])
-
-    def misread(self, core: str) -> bool:
-        """Whether the word (its core learned before) is a misread one."""
-        if not core or core in self.known or not _LETTERS.search(core) or _ROMAN.match(core):
-            return False
-        if _ELISION.match(core) and _ELISION.sub("", core) in self.known:
-            return False
-        if any(c.isdigit() for c in core):
-            return not _ORDINAL.match(core)
-        if _INNER.search(_ELISION.sub("", core)):
-            return True
-        return bool(self.memo.get(core))
-
-    def best(self, core: str, before: str, after: str) -> str | None:
-        """The reading of a misread word that fits its neighbours best; None if there's no candidate."""
-        c = self.memo.get(core) or []
-        bare = re.sub(r"[\W\d_]", "", core)
-        if bare in self.known and bare not in c:
-            c = [bare, *c]
-        if not c:
-            return None
-        score = lambda w: (self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0), -abs(len(w) - len(core)), w)
-        return max(c, key=score)
+#: What a word is by itself: nothing to judge, a word, a word with signs or digits that no word has.
+SKIP, WORD, ODD = 0, 1, 2
+
+
+def kind_of(core: str) -> int:
+    if not core or not _LETTERS.search(core) or _ROMAN.match(core) or len(core) > LONGEST_WORD:
+        return SKIP
+    if any(c.isdigit() for c in core):
+        return SKIP if _ORDINAL.match(core) else ODD
+    return ODD if _INNER.search(_ELISION.sub("", core)) else WORD
+
+
+def change(meant: str, seen: str) -> tuple[str, str]:
+    """The part of a word and what became of it, without what both have before and behind it."""
+    least = min(len(meant), len(seen))
+    a = 0
+    while a < least and meant[a] == seen[a]:
+        a += 1
+    b = 0
+    while b < least - a and meant[-1 - b] == seen[-1 - b]:
+        b += 1
+    return meant[a : len(meant) - b], seen[a : len(seen) - b]
+
+
+def _find_candidates(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of a word asked for and a known one at most one edit or confusion away."""
+    out = []
+    if len(asked) and len(known):
+        n_of = dict(zip(known["v"], known["nv"].tolist()))
+        trie = Trie(list(n_of))
+        words = sorted(set(asked["core"]))
+        n_asked = dict(zip(asked["core"], asked["n"].tolist()))
+        for w, near in zip(words, trie.near(words)):
+            n = max(n_asked[w], 1)
+            out += [(w, n, v, n_of[v], *change(v, w)) for v in dict.fromkeys(readings(w, trie) + near) if v != w and n_of[v] >= TIMES * n]
+    return pd.DataFrame(out, columns=["core", "n", "v", "nv", "meant", "seen"])
+
+
+def _cells_of(length, core, of_known: bool):
+    """Cells such that a known word and one an edit or a confusion away have one in common: by length up to four
+    letters, else by the first two letters and by the last two, of which one pair is the same."""
+    by_length = [F.when(F.lit(k).between(length - (0 if of_known else 1), length + (0 if of_known else 1)), F.lit(f"#{k}")) for k in range(1, 5)]
+    long = length >= (5 if of_known else 4)
+    ends = [F.when(long, F.concat(F.lit("<"), F.substring(core, 1, 2))), F.when(long, F.concat(F.lit(">"), F.substring(core, -2, 2)))]
+    return F.filter(F.array(*by_length, *ends), lambda c: c.isNotNull())
+
+
+def candidates(types: DataFrame, trie_words: int = TRIE_WORDS, asked_words: int = ASKED_WORDS) -> DataFrame:
+    """(core, n, v, nv, meant, seen): for each word (core, n, kind) all words v of TIMES its number within one edit or confusion.
+
+    The known words are dealt to tries by cells, so that no trie has all of them; words asked for go to the tries of
+    their cells, those of a trie that many ask for in several tasks.
+    """
+    known = types.where((F.col("kind") == WORD) & (F.col("n") >= TIMES)).select("core", "n")
+    asked = types.where((F.col("kind") != SKIP) & F.length("core").between(2, LONGEST_WORD)).select("core", "n")
+    buckets = max(1, -(-2 * known.count() // trie_words))
+    bucket = lambda w, of_known: F.explode(F.array_distinct(F.transform(_cells_of(F.length(w), F.col(w), of_known), lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")))).alias("bucket")
+    known, asked = known.select(F.col("core").alias("v"), F.col("n").alias("nv"), bucket("core", True)), asked.select("core", "n", bucket("core", False))
+    # One row for each trie.
+    shares = asked.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(asked_words)).cast("int").alias("parts"))
+    asked = asked.join(F.broadcast(shares), "bucket").withColumn("part", F.pmod(F.xxhash64("core"), F.col("parts")).cast("int"))
+    known = known.join(F.broadcast(shares), "bucket").select("v", "nv", F.col("bucket").alias("known_bucket"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("known_part"))
+    found = asked.groupBy("bucket", "part").cogroup(known.groupBy("known_bucket", "known_part")).applyInPandas(_find_candidates, "core string, n long, v string, nv long, meant string, seen string")
+    return found.distinct() if buckets > 1 else found
+
+
+def misread_types(types: DataFrame) -> DataFrame:
+    """(core, reading, readings): the words (core, n, kind) that are misread ones, the likeliest reading, and all likely ones.
+
+    Words with signs or digits between their letters are, with or without candidates. Of the others those whose number is
+    what the misreadings of a candidate come to: its own number by the rate at which that part of a word becomes the
+    other, estimated from all pairs but those with the candidate (a word of its own would prove itself a misread one).
+    """
+    c = cut(candidates(types))
+    own = F.least(F.col("n").cast("double"), PAIR_MOST * F.col("nv"))
+    changed = c.groupBy("meant", "seen").agg(F.sum(own).alias("all"))
+    words = types.where(F.col("kind") == WORD)
+    places = F.sequence(F.lit(1), F.length("core"))
+    parts = F.array_distinct(F.concat(F.transform(places, lambda i: F.substring("core", i, F.lit(1))), F.transform(places, lambda i: F.substring("core", i, F.lit(2)))))
+    rooms = words.select("n", F.explode(F.concat(parts, F.array(F.lit("")))).alias("meant")).groupBy("meant").agg(F.sum("n").alias("room"))
+    x = c.join(changed, ["meant", "seen"]).join(rooms, "meant", "left")
+    # The part may have been changed in several ways; what this candidate gave to the estimate is taken out of it.
+    mine = F.sum(own).over(Window.partitionBy("meant", "seen", "v"))
+    rate = F.greatest(F.col("all") - mine, F.lit(0.0)) / F.greatest(F.coalesce("room", F.lit(0)) - F.col("nv"), F.lit(1))
+    x = x.withColumn("expected", F.col("nv") * rate)
+    likely = x.where((F.col("n") <= BEYOND * F.col("expected") + STRAY) | (F.col("n") <= TRACE * F.col("nv")))
+    best = F.sort_array(F.collect_list(F.struct(F.col("expected"), F.col("nv"), F.col("v"))), asc=False)
+    likely = likely.groupBy("core").agg(F.transform(best, lambda s: s["v"]).alias("readings"))
+    # An article or the like before a known word makes a word.
+    split = F.regexp_extract("core", r"^(?:l|d|n|qu|s|c|j|m|t|jusqu|lorsqu|puisqu)['’](.+)$", 1)
+    odd = types.where(F.col("kind") == ODD).select("core")
+    likely = odd.join(likely, "core", "full").withColumn("rest", split)
+    whole = words.where(F.col("n") >= TIMES).select(F.col("core").alias("rest")).join(likely.select(F.col("core").alias("rest")), "rest", "left_anti")
+    fine = likely.where("rest <> ''").select("core", "rest").join(whole, "rest").select("core")
+    out = likely.join(fine, "core", "left_anti")
+    readings_ = F.coalesce("readings", F.array().cast("array<string>"))
+    return out.select("core", F.get(readings_, F.lit(0)).alias("reading"), readings_.alias("readings"))
 
 
 def _broken(raw: str) -> bool:
@@ -351,89 +410,84 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         for text, gone in zip(f["text"], f["gone"]):
             words.update(c for _, c in _units(_tokens(text, gone)))
-        yield pd.DataFrame({"w": list(words), "n": list(words.values())})
+        if words:
+            yield pd.DataFrame({"core": list(words), "n": list(words.values()), "kind": [kind_of(w) for w in words]})
 
 
-def _pair_counts(known: set[str]):
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            pairs: Counter = Counter()
-            for text, gone in zip(f["text"], f["gone"]):
-                c = [c for _, c in _units(_tokens(text, gone))]
-                pairs.update(p for p in zip(c, c[1:]) if p[0] in known and p[1] in known)
+def _pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        pairs: Counter = Counter()
+        for text, gone in zip(f["text"], f["gone"]):
+            c = [c for _, c in _units(_tokens(text, gone))]
+            pairs.update(zip(c, c[1:]))
+        if pairs:
             yield pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "n": list(pairs.values())})
 
-    return counts
-
 
-def vocabulary(marked: DataFrame) -> list[str]:
-    """The words frequent enough, over all running text of (text, gone); none with digits or signs between letters."""
-    c = cut(marked.select("text", "gone").mapInPandas(_counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    least = max(VOCABULARY_LEAST, VOCABULARY_SHARE * (c.agg(F.sum("n")).first()[0] or 0))
-    frequent = (r[0] for r in c.where((F.col("n") >= least) & ~F.col("w").rlike(r"\d|^\W*$")).select("w").collect())
-    return sorted(w for w in frequent if not _INNER.search(_ELISION.sub("", w)))
+def word_types(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(core, n, kind) of all words of the running text (text, gone); those of `more` (text) are there, but don't count."""
+    t = marked.select("text", "gone").mapInPandas(_counts, "core string, n long, kind int")
+    if more is not None:
+        extra = more.select("text", F.lit(None).cast("array<int>").alias("gone")).mapInPandas(_counts, "core string, n long, kind int")
+        t = t.unionByName(extra.withColumn("n", F.lit(0).cast("long")))
+    return cut(t.groupBy("core", "kind").agg(F.sum("n").alias("n")))
 
 
-def neighbours(marked: DataFrame, words: list[str]) -> dict[tuple[str, str], int]:
-    c = marked.select("text", "gone").mapInPandas(_pair_counts(set(words)), "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    c = cut(c)
-    least = max(PAIR_LEAST, PAIR_SHARE * (c.agg(F.sum("n")).first()[0] or 0))
-    return {(r[0], r[1]): r[2] for r in c.where(F.col("n") >= least).collect()}
-
-
-def judge(text: str, gone, reader: Reader, continued: bool = False) -> list[tuple[int, str]]:
-    """(place of the word, kind) for what is wrong with the words of a block; call reader.learn before.
+def judge(text: str, gone, frequent=frozenset(), continued: bool = False) -> list[tuple]:
+    """(place, kind, second, core, head, unit, before, after) for what is wrong, or may be, with the words of a block.
 
+    The kinds are furniture, hyphen and `word`, a word that is misread if its core is; then second is the place of its
+    second half, if it is broken, else -1, and head the core of the first. before and after are the cores beside it.
     continued: the block begins with the second half of a word; that is nothing to look up.
     """
-    out = []
+    out: list[tuple] = []
     if gone is not None and len(gone):
         off, k = set(gone), 0
         for i, line in enumerate(text.split("\n")):
             n = sum(1 for x in line.split(" ") if x)
             if i in off:
-                out += [(k + j, "furniture") for j in range(n)]
+                out += [(k + j, "furniture", -1, None, None, -1, None, None) for j in range(n)]
             k += n
     units = _units(_tokens(text, gone))
     for j, (parts, core) in enumerate(units):
-        if len(parts) == 2:
-            out.append((parts[0][0], "hyphen"))
-            if reader.misread(core):
-                want = reader.best(core, "", "")
-                head = _CORES[parts[0][2][:-1]]
-                # The half in which the reading differs; both can't be told apart without one.
-                first = want is None or not want.startswith(head)
-                out.append((parts[0 if first else 1][0], "misread"))
-        elif j == len(units) - 1 and parts[0][3] and _broken(parts[0][2]):
-            out.append((parts[0][0], "hyphen"))
-        elif reader.misread(core) and not (continued and j == 0):
-            out.append((parts[0][0], "misread"))
+        whole = len(parts) == 1
+        if not whole or (j == len(units) - 1 and parts[0][3] and _broken(parts[0][2])):
+            out.append((parts[0][0], "hyphen", -1, None, None, -1, None, None))
+            if whole:
+                continue
+        if core in frequent or kind_of(core) == SKIP or (whole and continued and j == 0):
+            continue
+        before, after = units[j - 1][1] if j else None, units[j + 1][1] if j + 1 < len(units) else None
+        out.append((parts[0][0], "word", -1 if whole else parts[1][0], core, None if whole else _CORES[parts[0][2][:-1]], j, before, after))
     return out
 
 
-def _judged(reader: Reader):
+_FOUND = ["ord", "kind", "second", "core", "head", "unit", "before", "after"]
+FOUND = "key long, ord int, kind string, second int, core string, head string, unit int, before string, after string"
+
+
+def _judged(frequent: frozenset):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            reader.learn(c for text, gone in zip(f["text"], f["gone"]) for _, c in _units(_tokens(text, gone)))
-            rows = [(pk, o, k) for pk, text, gone, c in zip(f["block_pk"], f["text"], f["gone"], f["continued"].fillna(False)) for o, k in judge(text, gone, reader, bool(c))]
-            yield pd.DataFrame(rows, columns=["block_pk", "ord", "kind"])
+            rows = [(key, *r) for key, text, gone, c in zip(f["key"], f["text"], f["gone"], f["continued"]) for r in judge(text, gone, frequent, bool(c))]
+            yield pd.DataFrame(rows, columns=["key", *_FOUND]).astype({"ord": "int32", "second": "int32", "unit": "int32"})
 
     return run
 
 
-def _kinds(reader: Reader):
-    """Kinds of whole held-out texts: is every line furniture, else what the words are."""
+def frequent_words(types: DataFrame, misread: DataFrame) -> frozenset:
+    """At most FREQUENT words that need no looking up; it makes no difference to the result which."""
+    t = types.where(F.col("kind") == WORD).join(misread.select("core"), "core", "left_anti")
+    return frozenset(r[0] for r in t.orderBy(F.desc("n"), "core").limit(FREQUENT).select("core").collect())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            reader.learn(c for text in f["text"] for _, c in _units(_tokens(text, None)))
-            rows = []
-            for n, text, all_gone in zip(f["n"], f["text"], f["all_gone"]):
-                kinds = ["furniture"] if all_gone else sorted({k for _, k in judge(text, None, reader)})
-                rows += [(n, k) for k in kinds]
-            yield pd.DataFrame(rows, columns=["row_id", "kind"])
 
-    return run
+def suspects(texts: DataFrame, frequent: frozenset, misread: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (key, text, gone, continued): (key, ord, kind) of furniture and broken words, and the misread words with
+    their readings. A half in which the reading doesn't differ is none; can both not be told apart, the first is it."""
+    found = cut(texts.select("key", "text", "gone", "continued").mapInPandas(_judged(frequent), FOUND))
+    words = found.where("kind = 'word'").join(misread, "core")
+    second = (F.col("second") >= 0) & F.coalesce(F.startswith(F.col("reading"), F.col("head")), F.lit(False))
+    return found.where("kind <> 'word'").select("key", "ord", "kind"), words.withColumn("ord", F.when(second, F.col("second")).otherwise(F.col("ord")))
 
 
 _LINES = "n long, journal string, stem string, pure boolean, keys array<string>, fit boolean"
@@ -460,48 +514,57 @@ def continued(marked: DataFrame) -> DataFrame:
     return b.withColumn("before", before).join(ends, ["stem", "page"], "left").select("block_pk", F.coalesce("before", "page_before", F.lit(False)).alias("continued"))
 
 
-def _learned(spark, root: str):
+def _learned(spark, root: str, held: DataFrame | None = None):
     blocks = table(spark, root, "blocks")
     furniture = Furniture(blocks)
     marked = blocks.where(F.col("text").isNotNull()).select("block_pk", "stem", "page", "ord", "text", "loaded", "block_id").join(furniture.lines, "block_pk", "left")
-    return furniture, marked, vocabulary(marked)
+    types = word_types(marked, held)
+    misread = cut(misread_types(types))
+    return furniture, marked, misread, frequent_words(types, misread)
 
 
 def p2_found(spark, root: str) -> DataFrame:
-    furniture, marked, words = _learned(spark, root)
-    reader = Reader(words)
-    found = marked.join(continued(marked), "block_pk", "left").select("block_pk", "text", "gone", "continued").mapInPandas(_judged(reader), "block_pk long, ord int, kind string")
-    keys = table(spark, root, "words").select("block_pk", F.col("ord").cast("int").alias("ord"), "word_pk")
-    of_words = keys.join(found, ["block_pk", "ord"]).select(F.lit("words").alias("tbl"), F.col("word_pk").alias("row_id"), "kind").distinct()
     held = table(spark, root, "heldout_blocks").where(F.col("text").isNotNull()).select(F.col("n").cast("long").alias("n"), F.col("doc").alias("stem"), "text")
+    furniture, marked, misread, frequent = _learned(spark, root, held)
+    texts = marked.join(continued(marked), "block_pk", "left").select(F.col("block_pk").alias("key"), "text", "gone", F.coalesce("continued", F.lit(False)).alias("continued"))
+    plain, words = suspects(texts, frequent, misread)
+    found = plain.unionByName(words.select("key", "ord", F.lit("misread").alias("kind")))
+    keys = table(spark, root, "words").select(F.col("block_pk").alias("key"), F.col("ord").cast("int").alias("ord"), "word_pk")
+    of_words = keys.join(found, ["key", "ord"]).select(F.lit("words").alias("tbl"), F.col("word_pk").alias("row_id"), "kind").distinct()
     near, far = furniture.own.groupBy("stem").agg(F.collect_set("key").alias("near")), furniture.wide.groupBy("journal").agg(F.collect_set("key").alias("far"))
     lines = held.mapInPandas(_held_lines, _LINES).join(near, "stem", "left").join(far, "journal", "left")
-    whole = lines.groupBy("n").agg(F.min(F.col("pure") | (F.col("fit") & furniture.is_head(F.col("keys"), F.col("near"), F.col("far")))).alias("all_gone"))
-    of_held = held.join(whole, "n").select("n", "text", "all_gone").mapInPandas(_kinds(reader), "row_id long, kind string")
-    return of_words.unionByName(of_held.select(F.lit("heldout_blocks").alias("tbl"), "row_id", "kind"))
+    whole = cut(lines.groupBy("n").agg(F.min(F.col("pure") | (F.col("fit") & furniture.is_head(F.col("keys"), F.col("near"), F.col("far")))).alias("all_gone")))
+    rest = held.join(whole.where("not all_gone"), "n").select(F.col("n").alias("key"), "text", F.lit(None).cast("array<int>").alias("gone"), F.lit(False).alias("continued"))
+    plain, words = suspects(rest, frequent, misread)
+    kinds = plain.select(F.col("key").alias("row_id"), "kind").unionByName(words.select(F.col("key").alias("row_id"), F.lit("misread").alias("kind"))).unionByName(whole.where("all_gone").select(F.col("n").alias("row_id"), F.lit("furniture").alias("kind")))
+    return of_words.unionByName(kinds.distinct().select(F.lit("heldout_blocks").alias("tbl"), "row_id", "kind"))
 
 
-def _repaired(reader: Reader):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            reader.learn(c for text, gone in zip(f["text"], f["gone"]) for _, c in _units(_tokens(text, gone)))
-            out = []
-            for text, gone in zip(f["text"], f["gone"]):
-                units = _units(_tokens(text, gone))
-                words = []
-                for j, (parts, core) in enumerate(units):
-                    raw = parts[0][2] if len(parts) == 1 else parts[0][2][:-1] + parts[1][2]
-                    if reader.misread(core):
-                        want = reader.best(core, units[j - 1][1] if j else "", units[j + 1][1] if j + 1 < len(units) else "")
-                        if want is not None:
-                            a = len(raw) - len(raw.lstrip(_EDGE))
-                            b = len(raw.rstrip(_EDGE))
-                            raw = raw[:a] + (want.capitalize() if raw[a : a + 1].isupper() else want) + raw[b:]
-                    words.append(raw)
-                out.append(" ".join(words))
-            yield f.assign(text=out)[["block_pk", "stem", "page", "ord", "text"]]
+def best_readings(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, unit, want): for misread words (key, unit, core, before, after, readings) the reading that fits best: whose
+    pairs with the words beside it are the most frequent (a, b, n), then of the most alike length, then the likeliest."""
+    r = words.select("key", "unit", "core", "before", "after", F.posexplode("readings").alias("no", "v"))
+    asked = r.select("key", "unit", "v", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("after").alias("b")))).alias("p")).select("key", "unit", "v", "p.a", "p.b")
+    n = asked.join(pairs, ["a", "b"]).groupBy("key", "unit", "v").agg(F.sum("n").alias("n"))
+    x = r.join(n, ["key", "unit", "v"], "left")
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.abs(F.length("v") - F.length("core"))).alias("d"), (-F.col("no")).alias("no"), "v")
+    return x.groupBy("key", "unit").agg(F.max_by("v", rank).alias("want"))
 
-    return run
+
+def _reflow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for text, gone, fixes in zip(f["text"], f["gone"], f["fixes"]):
+            want = {x["unit"]: x["want"] for x in fixes} if fixes is not None else {}
+            words = []
+            for j, (parts, _) in enumerate(_units(_tokens(text, gone))):
+                raw = parts[0][2] if len(parts) == 1 else parts[0][2][:-1] + parts[1][2]
+                if want.get(j):
+                    a, b = len(raw) - len(raw.lstrip(_EDGE)), len(raw.rstrip(_EDGE))
+                    raw = raw[:a] + (want[j].capitalize() if raw[a : a + 1].isupper() else want[j]) + raw[b:]
+                words.append(raw)
+            out.append(" ".join(words))
+        yield f.assign(text=out)[["block_pk", "stem", "page", "ord", "text"]]
 
 
 def p2_paragraphs(spark, root: str) -> DataFrame:
@@ -510,9 +573,11 @@ def p2_paragraphs(spark, root: str) -> DataFrame:
     Of a block that was delivered again the latest counts. A paragraph that a page's end breaks off in a word stays two
     rows, its first half as printed.
     """
-    _, marked, words = _learned(spark, root)
-    reader = Reader(words, neighbours(marked, words))
-    text = marked.select("block_pk", "stem", "page", "ord", "text", "gone").mapInPandas(_repaired(reader), "block_pk long, stem string, page int, ord int, text string")
+    _, marked, misread, frequent = _learned(spark, root)
+    _, words = suspects(marked.select(F.col("block_pk").alias("key"), "text", "gone", F.lit(False).alias("continued")), frequent, misread)
+    pairs = marked.select("text", "gone").mapInPandas(_pair_counts, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    fixes = best_readings(words, pairs).groupBy(F.col("key").alias("block_pk")).agg(F.collect_list(F.struct("unit", "want")).alias("fixes"))
+    text = marked.join(fixes, "block_pk", "left").select("block_pk", "stem", "page", "ord", "text", "gone", "fixes").mapInPandas(_reflow, "block_pk long, stem string, page int, ord int, text string")
     latest = marked.groupBy("stem", "block_id").agg(F.max(F.struct("loaded", "block_pk")).alias("s")).select(F.col("s.block_pk").alias("block_pk"))
     return text.where("text <> ''").join(latest, "block_pk").select("stem", "page", "ord", "text")
 

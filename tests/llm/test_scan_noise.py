@@ -14,20 +14,58 @@ def test_trie_finds_every_candidate():
     assert N.Trie([]).near(["abc"]) == [[]]
 
 
+def types_of(spark, counts):
+    return spark.createDataFrame([(w, n, N.kind_of(w)) for w, n in counts.items()], "core string, n long, kind int")
+
+
+def test_candidates_over_many_tries(spark):
+    r = random.Random(2)
+    words = {"".join(r.choices("abes", k=r.randint(1, 8))): r.choice([1, 2, 15, 300]) for _ in range(400)} | {"modern": 50, "modem": 2, "tlie": 1, "the": 900}
+    got = {(x["core"], x["v"]) for x in N.candidates(types_of(spark, words), trie_words=60, asked_words=50).collect()}
+    confused = lambda a, b: any(b[:i] + y + b[i + len(x) :] == a for x, y in N.CONFUSED for i in range(len(b)) if b.startswith(x, i))
+    near = {(a, b) for a in words for b in words if len(a) > 1 and a != b and words[b] >= 10 * words[a] and (distance(a, b) <= 1 or confused(a, b))}
+    assert got == near and ("modem", "modern") in got and ("tlie", "the") in got
+    assert N.candidates(types_of(spark, words).limit(0)).count() == 0
+
+
+def test_misread_types(spark):
+    counts = {"the": 9000, "then": 300, "tlie": 9, "thc": 8, "cat": 900, "cct": 2, "see": 800, "scc": 1, "sec": 4, "catalogue": 400, "catalogne": 2, "rare": 3, "descr.ibes": 1, "describes": 90, "19o4": 1, "l'élève": 2, "élève": 40, "1st": 9, "": 5, "xiv": 3}
+    got = {r["core"]: r["reading"] for r in N.misread_types(types_of(spark, counts)).collect()}
+    # A word that is far more frequent than any misreading would be stays, and so does a rare one without candidates.
+    assert got.pop("19o4") is None and got == {"tlie": "the", "thc": "the", "cct": "cat", "sec": "see", "catalogne": "catalogue", "descr.ibes": "describes"}
+    assert N.misread_types(types_of(spark, counts).limit(0)).count() == 0
+
+
+def test_rare_words_of_any_corpus_size(spark):
+    counts = {"archive": 500, "archivc": 2, "allerdings": 6, "allerdlngs": 1, "dagegen": 70, "dagegn": 1}
+    for times in (1, 100):
+        got = {r["core"] for r in N.misread_types(types_of(spark, {w: n * times if n > 2 else n for w, n in counts.items()})).collect()}
+        assert got == {"archivc", "dagegn"} | ({"allerdlngs"} if times > 1 else set())
+
+
 def test_judge():
-    reader = N.Reader("the old library describes catalogue modern l'élève".split())
-    text = "— 3 — Review\nthe old libr-\nary descr.ibes the catalogne\nmodern modem tlie l'élève Zagu 19O4"
-    reader.learn(c for _, c in N._units(N._tokens(text, [0])))
-    got = N.judge(text, [0], reader)
+    text = "— 3 — Review\nthe old libr-\nary descr.ibes the catalogne\nmodern 12 19O4"
+    got = N.judge(text, [0], frozenset(["the", "old"]))
     raw = text.replace("\n", " ").split(" ")
-    assert [(raw[i], k) for i, k in got] == [("—", "furniture"), ("3", "furniture"), ("—", "furniture"), ("Review", "furniture"), ("libr-", "hyphen"), ("descr.ibes", "misread"), ("catalogne", "misread"), ("modem", "misread"), ("tlie", "misread"), ("19O4", "misread")]
-    assert reader.best("catalogne", "", "") == "catalogue" and reader.best("zagu", "", "") is None
+    assert [(raw[i], k, c) for i, k, _, c, *_ in got] == [
+        ("—", "furniture", None), ("3", "furniture", None), ("—", "furniture", None), ("Review", "furniture", None), ("libr-", "hyphen", None), ("libr-", "word", "library"),
+        ("descr.ibes", "word", "descr.ibes"), ("catalogne", "word", "catalogne"), ("modern", "word", "modern"), ("19O4", "word", "19o4"),
+    ]
+    assert N.judge("", None) == [] and N.judge("lo-", None)[0][:2] == (0, "hyphen")
+
+
+def test_halves(spark):
+    misread = spark.createDataFrame([("libnary", "library", ["library"]), ("librany", "library", ["library"]), ("l1brary", None, [])], "core string, reading string, readings array<string>")
+    texts = spark.createDataFrame([(1, "libn-\nary", None, False), (2, "lib-\nrany", None, False), (3, "l1b-\nrary", None, False), (4, "", [0], False)], "key long, text string, gone array<int>, continued boolean")
+    plain, words = N.suspects(texts, frozenset(), misread)
+    assert {(r["key"], r["ord"]) for r in words.collect()} == {(1, 0), (2, 1), (3, 0)}
+    assert {(r["key"], r["ord"], r["kind"]) for r in plain.collect()} == {(k, 0, "hyphen") for k in (1, 2, 3)}
 
 
-def test_context_ranks():
-    reader = N.Reader(["cat", "car", "the", "runs"], {("the", "car"): 5, ("the", "cat"): 2})
-    reader.learn(["caz"])
-    assert reader.best("caz", "the", "runs") == "car"
+def test_context_ranks(spark):
+    words = spark.createDataFrame([(1, 0, "caz", "the", "runs", ["cat", "car"]), (2, 3, "caz", None, None, ["cat", "car"]), (2, 4, "x1", "a", "b", [])], "key long, unit int, core string, before string, after string, readings array<string>")
+    pairs = spark.createDataFrame([("the", "car", 5), ("the", "cat", 2)], "a string, b string, n long")
+    assert {(r["key"], r["unit"], r["want"]) for r in N.best_readings(words, pairs).collect()} == {(1, 0, "car"), (2, 3, "cat")}
 
 
 def test_heads():
