@@ -21,22 +21,26 @@ from quire.sources.tables import table
 
 # Cyrillic and Greek letters that print like a Latin one.
 LOOKALIKE = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι", "aeopcyxijshdqwABEKMHOPCTYXIJSABEZHIKMNOPTYXovi"))
+# Letters of other scripts and phonetic ones that nearly print like a Latin one; only within a Latin word.
+NEARLY = dict(zip("ακργτυχӏѵɑɡɩօոսհցᴏᴄᴠᴡᴢᴜꜱ", "akpytuxlvagionuhgocvwzus"))
 # Persian letters and digits, and the Arabic ones that print like them (in some positions).
 PERSIAN, ARABIC = "یکہۀ۰۱۲۳۷۸۹", "يكهه٠١٢٣٧٨٩"
 PERSIAN_OF, ARABIC_OF = dict(zip(ARABIC[:2] + ARABIC[4:], PERSIAN[:2] + PERSIAN[4:])), dict(zip(PERSIAN[:2] + PERSIAN[4:], ARABIC[:2] + ARABIC[4:]))
 ZWNJ = "‌"
-_PROTO = {ord(a): b for a, b in LOOKALIKE.items()} | {ord(a): b for a, b in zip(PERSIAN, ARABIC)} | {ord("ى"): "ي"}
+_PROTO = {ord(a): b for a, b in (LOOKALIKE | NEARLY).items()} | {ord(a): b for a, b in zip(PERSIAN, ARABIC)} | {ord("ى"): "ي"}
 _PROTO |= {0x06F4: "٤", 0x06F5: "٥", 0x06F6: "٦"}
 
 #: In Java's regular expressions: invisible characters but the non-joiner, and blanks but the plain one.
 HIDDEN = r"[\p{Cf}&&[^\x{200C}]]|[\p{Zs}&&[^ ]]|[\x{180E}\x{115F}\x{3164}\x{FE00}-\x{FE0F}]"
-#: Characters that have a plain counterpart: presentation forms, ligatures, full and half width.
-VARIANT = r"[\x{FB00}-\x{FDFF}\x{FE10}-\x{FE1F}\x{FE30}-\x{FE6F}\x{FE70}-\x{FEFE}\x{FF00}-\x{FFEF}]"
 #: Nothing in it can be a variant: ASCII, composed Latin letters, Arabic letters both languages write alike, marks.
-PLAIN = r"^[\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{24F}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*$"
+PLAIN = r"^[\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{24F}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}]*$"
+#: Signs that are written as they are, though Unicode has a longer form of them.
+_WRITTEN = {c: "-" for r in (range(0xA1, 0xC0), range(0x2010, 0x205F)) for c in r if unicodedata.normalize("NFKC", chr(c)) != chr(c)}
 _ARAB = re.compile("[ؠ-يٮ-ۓۺ-ۿﭐ-﷿ﹰ-ﻼ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿＡ-Ｚａ-ｚ]")
-_OTHER = re.compile("[Ͱ-ϿЀ-ԯ]")
+_OTHER = re.compile("[Ͱ-ϿЀ-֏ɑɡɩᴀ-ᴢꜱ]")
+#: Phonetic letters that no Latin word has; beside them the others are meant as they are.
+_PHONETIC = re.compile("[ɐɒ-ɟɢ-ɨɪ-ʯː]")
 
 
 def skeleton(text: str) -> str:
@@ -45,11 +49,19 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFKD", "".join(c for c in t if unicodedata.category(c) != "Cf"))
 
 
+def _as_latin(m: re.Match) -> str:
+    word = m[0]
+    if not _LATIN.search(word) or _PHONETIC.search(word):
+        return word
+    word = "".join(LOOKALIKE.get(c, c) for c in word)
+    return re.sub(r"[^\W\d_]+", lambda r: "".join(NEARLY.get(c, c) for c in r[0]) if _LATIN.search(r[0]) else r[0], word)
+
+
 def plain_form(text: str, lang: str | None = None) -> str:
     """The text in the characters its language writes: composed, without hidden ones, blanks and widths plain.
 
-    lang `per` takes Persian letters and keeps the non-joiner between letters, any other the Arabic letters. Cyrillic and
-    Greek letters become Latin only in words that also have Latin ones. Vowel marks stay.
+    lang `per` takes Persian letters and keeps the non-joiner between letters, any other the Arabic letters. Letters that
+    look like Latin ones become Latin only in words that also have Latin ones. Vowel marks stay.
     """
     t = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text))
     keep = ZWNJ if lang == "per" else ""
@@ -57,7 +69,7 @@ def plain_form(text: str, lang: str | None = None) -> str:
     if keep:
         t = re.sub(f"(?<![ؠ-ۓ]){ZWNJ}|{ZWNJ}(?![ؠ-ۓ])", "", t)
     if _OTHER.search(t):
-        t = re.sub(r"\S+", lambda m: "".join(LOOKALIKE.get(c, c) for c in m[0]) if _LATIN.search(m[0]) else m[0], t)
+        t = re.sub(r"\S+", _as_latin, t)
     if _ARAB.search(t) or lang in ("ara", "per"):
         t = "".join(map((PERSIAN_OF if lang == "per" else ARABIC_OF).get, t, t))
     # What neither form can be asked for: blanks at the ends of the text.
@@ -74,15 +86,20 @@ def _fold(text: str) -> str:
 fold_word = _fold
 
 
-@F.pandas_udf(T.StringType())
-def skeleton_udf(s: pd.Series) -> pd.Series:
-    return s.map(skeleton, na_action="ignore")
+def group_key(text: str) -> str:
+    """The skeleton of a word's letters and digits; its punctuation, hyphens and vowel marks part no group."""
+    return skeleton("".join(c for c in text if not "\u064b" <= c <= "\u0652" and unicodedata.category(c)[0] != "P"))
+
 
+def in_no_language(text: str) -> bool:
+    """Whether no language writes the text so: it is neither its Persian plain form nor the other one."""
+    t = text.translate(_WRITTEN)
+    return plain_form(t, "per") != t and plain_form(t) != t
 
-@F.pandas_udf(T.BooleanType())
-def _differs(s: pd.Series, lang: pd.Series) -> pd.Series:
-    """Whether the text isn't in its plain form, for texts whose language is certain enough."""
-    return pd.Series([t is not None and plain_form(t, x) != t for t, x in zip(s, lang)], dtype="boolean")
+
+@F.pandas_udf(T.StructType([T.StructField("skel", T.StringType()), T.StructField("certain", T.BooleanType())]))
+def _judged(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"skel": [group_key(x) for x in s], "certain": [in_no_language(x) for x in s]}).astype({"skel": object, "certain": bool})
 
 
 def _has(c: Column, pattern: str) -> Column:
@@ -105,53 +122,65 @@ SEEN, MOSTLY = 5, 0.93
 NEAR = 6
 
 
-def _arabic_script(words: DataFrame, key: str, group: str, order: str) -> DataFrame:
-    """(key) of the words in Arabic script that aren't in the form of the language around them."""
+_ARABIC_SCRIPT = r"[\x{0620}-\x{064A}\x{0660}-\x{0669}\x{066E}-\x{06D3}\x{06F0}-\x{06FF}]"
+_PER_FORM, _ARA_FORM = "[یک۰۱۲۳۷۸۹]", "[يك٠١٢٣٧٨٩]"
+
+
+def groups(words: DataFrame) -> DataFrame:
+    """(text, n, skel, certain, n_group, n_plain, n_alike, n_per, n_ara, n_joined) of all spellings (text), grouped by skeleton.
+
+    certain: no language writes it so. Of the group's words the numbers in plain Latin characters, in letters that only
+    look like Latin ones, with Persian letters only, with Arabic ones only, and with a non-joiner.
+    """
+    alike = f"^(?=.*\\p{{L}})[{''.join(LOOKALIKE)}\\p{{P}}]+$"
+    t = words.where(F.col("text").isNotNull() & (F.col("text") != "")).groupBy("text").agg(F.count("*").alias("n"))
+    t = t.withColumn("j", _judged("text")).select("text", "n", "j.skel", (F.col("j.certain") | _has(F.col("text"), HIDDEN)).alias("certain"), _has(F.col("text"), alike).alias("alike"))
+    t = cut(t)
+    per, ara = _has(F.col("text"), _PER_FORM), _has(F.col("text"), _ARA_FORM)
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    g = t.groupBy("skel").agg(F.count("*").alias("spellings"), F.sum("n").alias("n_group"), of(_has(F.col("text"), PLAIN)).alias("n_plain"), of(F.col("alike")).alias("n_alike"), of(per & ~ara).alias("n_per"), of(ara & ~per).alias("n_ara"), of(F.contains("text", F.lit(ZWNJ))).alias("n_joined"))
+    return t.join(g, "skel")
+
+
+def _arabic_script(w: DataFrame, key: str, group: str, order: str) -> DataFrame:
+    """(key) of the words in Arabic script, with what their skeleton's group has, that aren't in the form of the language around them."""
     t = F.regexp_replace("text", r"[\x{200B}\x{200D}-\x{200F}\x{061C}\x{2060}\x{FEFF}]", "")
-    skel = F.translate(F.regexp_replace(t, r"[\x{200C}\x{064B}-\x{0652}]", ""), PERSIAN, ARABIC)
-    w = words.select(key, group, order, "text", skel.alias("skel"), _evidence(t).alias("ev"), (_has(F.col("text"), "[یک۰۱۲۳۷۸۹]")).alias("per_form"), (_has(F.col("text"), "[يك٠١٢٣٧٨٩]")).alias("ara_form"))
-    # What most of a skeleton's group has.
-    counts = w.groupBy("skel").agg(F.count("*").alias("n"), F.count_if(F.col("per_form") & ~F.col("ara_form")).alias("np"), F.count_if(F.col("ara_form") & ~F.col("per_form")).alias("na"), F.count_if(F.contains("text", F.lit(ZWNJ))).alias("nz"))
-    told = counts.where((F.col("n") >= SEEN) & ((F.col("np") + F.col("na") + F.col("nz")) > 0))
-    most = told.select("skel", (F.col("np") / F.greatest(F.col("np") + F.col("na"), F.lit(1))).alias("share"), (F.col("np") + F.col("na")).alias("seen"), (F.col("nz") / F.col("n")).alias("joined"))
-    w = hot_join(w, most, "skel", hot_keys(told, "skel", "n"), F.col(key), how="left")
+    w = w.select(key, group, order, "text", "n_group", "n_per", "n_ara", "n_joined", _evidence(t).alias("ev"))
     near = Window.partitionBy(group).orderBy(order)
     around = F.sum("ev").over(near.rowsBetween(-NEAR, -1)), F.sum("ev").over(near.rowsBetween(1, NEAR))
     close = F.sum("ev").over(near.rowsBetween(-2, 2))
     w = w.withColumn("score", F.coalesce(around[0], F.lit(0.0)) + F.coalesce(around[1], F.lit(0.0)) + F.col("ev") + close)
-    sure = F.coalesce(F.col("seen") >= SEEN, F.lit(False))
-    per = F.when(sure & (F.col("share") >= MOSTLY), True).when(sure & (F.col("share") <= 1 - MOSTLY), False).otherwise(F.col("score") < 0)
-    wrong = F.when(per, _has(F.col("text"), "[يك٠١٢٣٧٨٩]")).otherwise(_has(F.col("text"), "[یک۰۱۲۳۷۸۹]"))
+    seen = F.col("n_per") + F.col("n_ara")
+    share, joined = F.col("n_per") / F.greatest(seen, F.lit(1)), F.col("n_joined") / F.col("n_group")
+    sure = F.coalesce(seen >= SEEN, F.lit(False))
+    per = F.when(sure & (share >= MOSTLY), True).when(sure & (share <= 1 - MOSTLY), False).otherwise(F.col("score") < 0)
+    wrong = F.when(per, _has(F.col("text"), _ARA_FORM)).otherwise(_has(F.col("text"), _PER_FORM))
     # A non-joiner that most of its group does without is none that the spelling needs.
-    idle = F.contains("text", F.lit(ZWNJ)) & (~per | (F.coalesce(F.col("joined"), F.lit(0.0)) < 0.5) & (F.coalesce(F.col("joined"), F.lit(1.0)) < 1.0) | ~_has(F.col("text"), r"[\x{0620}-\x{06D3}]\x{200C}[\x{0620}-\x{06D3}]"))
+    told = F.coalesce(F.col("n_group") >= SEEN, F.lit(False))
+    idle = F.contains("text", F.lit(ZWNJ)) & (~per | (told & (joined < 0.5)) | ~_has(F.col("text"), r"[\x{0620}-\x{06D3}]\x{200C}[\x{0620}-\x{06D3}]"))
     return w.where(wrong | idle).select(key)
 
 
 def variant_words(words: DataFrame, key: str, group: str, order: str) -> DataFrame:
     """(key): the words whose text holds a character or sequence other than the plain composed one.
 
-    words: (key BIGINT unique, group, order, text). Null and empty texts are none. Repeated rows are judged each by
-    itself. Words truly in another script, vowel marks and the non-joiner Persian spelling needs are none. A word made of
-    look-alike letters only is one if the Latin word with its skeleton occurs more often than it.
+    words: (key BIGINT unique, group, order, text). All spellings are grouped by their skeletons; a spelling that no
+    language writes so is a variant wherever it stands, one made of look-alike letters only is one if its group has more
+    words in plain Latin characters than such ones, and one in Arabic script is one if it isn't in the form of the
+    language that its group nearly always has or else of the words around it.
+
+    Null and empty texts are none. Repeated rows are judged each by itself. Words truly in another script, vowel marks
+    and the non-joiner Persian spelling needs are none.
     """
+    spellings = groups(words).where(~_has(F.col("text"), PLAIN))
+    variant = F.col("certain") | (F.col("alike") & (F.col("n_plain") > F.col("n_alike")))
+    arabic = _has(F.col("text"), _ARABIC_SCRIPT)
+    told = spellings.where(variant | (arabic & (F.col("n_group") >= SEEN) & ((F.col("n_per") + F.col("n_ara") + F.col("n_joined")) > 0))).select("text", "n", variant.alias("variant"), "n_group", "n_per", "n_ara", "n_joined")
+    told = cut(told)
     w = words.select(key, group, order, "text").where(F.col("text").isNotNull() & (F.col("text") != "") & ~_has(F.col("text"), PLAIN))
-    w = cut(w)  # it is looked through several times
-    t = F.col("text")
-    definite = _has(t, HIDDEN) | _has(t, VARIANT)
-    arab = _has(t, r"[\x{0620}-\x{064A}\x{0660}-\x{0669}\x{066E}-\x{06D3}\x{06F0}-\x{06FF}]")
-    sure = w.where(definite).select(key)
-    rest = w.where(~definite)
-    arabic = rest.where(arab)
-    composed = arabic.where(_has(t, r"[\x{0653}-\x{0655}]")).where(_differs(t, F.lit("per"))).where(F.regexp_replace(t, r"[\x{0653}-\x{0655}]", "") != t)
-    composed = composed.where(_has(t, r"ا[\x{0653}-\x{0655}]|[ويی]\x{0654}")).select(key)
-    other = rest.where(~arab).where(_has(t, r"[\x{0300}-\x{036F}\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{200C}]|[^\x{0}-\x{24F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}]"))
-    mixed = other.where(_differs(t, F.lit("x")))
-    same = f"^[{''.join(LOOKALIKE)}\\p{{P}}]+$"
-    letters = other.where(_has(t, same)).withColumn("skel", F.translate(F.regexp_replace(t, r"\p{P}", ""), "".join(LOOKALIKE), "".join(LOOKALIKE.values())))
-    latin = words.select(F.regexp_replace("text", r"\p{P}", "").alias("skel")).join(letters.select("skel").distinct(), "skel", "left_semi").groupBy("skel").agg(F.count("*").alias("n_latin"))
-    own = letters.groupBy("skel").agg(F.count("*").alias("n"))
-    alike = letters.join(own.join(latin, "skel").where("n_latin > n"), "skel", "left_semi").select(key)
-    return sure.unionByName(composed).unionByName(mixed.select(key)).unionByName(alike).unionByName(_arabic_script(arabic, key, group, order)).distinct()
+    w = cut(hot_join(w, told.drop("n"), "text", hot_keys(told, "text", "n"), F.col(key), how="left").where(arabic | F.col("variant")))
+    is_variant = F.coalesce("variant", F.lit(False))
+    return w.where(is_variant).select(key).unionByName(_arabic_script(w.where(~is_variant), key, group, order)).distinct()
 
 
 def variant_lines(lines: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,9 +200,9 @@ def p5_found(spark, root: str) -> DataFrame:
 
 def p5_skeletons(spark, root: str) -> DataFrame:
     """Groups of word texts with one skeleton and more than one spelling."""
-    d = table(spark, root, "words").where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("n"))
-    g = d.withColumn("skeleton", skeleton_udf("text")).groupBy("skeleton").agg(F.count("*").alias("spellings"), F.sum("n").alias("words"), F.max_by("text", F.struct("n", "text")).alias("commonest"))
-    return g.where("spellings > 1")
+    g = groups(table(spark, root, "words").select("text")).groupBy("skel")
+    g = g.agg(F.count("*").alias("spellings"), F.sum("n").alias("words"), F.max_by("text", F.struct("n", "text")).alias("commonest"))
+    return g.withColumnRenamed("skel", "skeleton").where("spellings > 1")
 
 
 QUERIES = {"p5_found": p5_found, "p5_skeletons": p5_skeletons}
