@@ -2,14 +2,15 @@
 
 Winnowing: of the hashes of all three-word sequences, the smaller of each two neighbours is kept, on both sides. Any four
 equal words in a row thereby share a kept hash; and ten words of which at most one in five is misread hold four such
-words. Equal hashes are hits. A hit is extended along its diagonal, first by counting equal words, then word by word with
-misreadings.
+words. Equal hashes are hits. A hit is extended along its diagonal and those beside it, first by counting equal words,
+then word by word with misreadings and words split or joined.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,10 @@ from quire.sources.tables import table
 
 #: Words of an item that a document must hold in a row, and among how many of them one may be misread.
 LEAST_WORDS, ONE_IN = 10, 5
-#: Equal words among ten, at least: two may be misread.
+#: Equal words among ten, at least, where a hit is looked at first: two may be misread, of which a split word counts as one.
 LEAST_EQUAL = LEAST_WORDS - 2
+#: A split or joined word moves the words behind it to the next diagonal.
+SHIFTS = (-1, 0, 1)
 #: Items whose fingerprints are sent to the executors at a time; more items make more passes over the corpus.
 ITEM_BLOCK = 5_000
 BATCH_CHARS = 2_000_000
@@ -93,13 +96,15 @@ class Index:
         self.words = [[f for f in map(fold, words_of(t)) if f] for _, t in items]
         self.known = {f for w in self.words for f in w}
         pad = [0] * (2 * LEAST_WORDS)
-        flat, owner = list(pad), [-1] * len(pad)
+        flat, owner, joined = list(pad), [-1] * len(pad), list(pad)
         self.begin = []
         for k, w in enumerate(self.words):
             self.begin.append(len(flat))
             flat += [hash_word(f) for f in w] + pad
             owner += [k] * len(w) + [-1] * len(pad)
+            joined += [hash_word(a + b) for a, b in zip(w, w[1:])] + [0] * min(1, len(w)) + pad
         self.h, self.owner = np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
+        self.joined = np.array(joined, dtype=np.int64)
         g, at = _grams(self.h, self.owner)
         ok = self.owner[at] >= 0
         order = np.argsort(g[ok], kind="stable")
@@ -116,12 +121,17 @@ def _like(a: str, b: str) -> str:
 
 def misread(word: str, seen: str, known: set[str]) -> bool:
     """Whether `seen` (both folded) can be a misreading of `word`: close to it, and no other word of the items."""
-    if seen in known or (word.isdigit() and seen.isdigit()):
+    return not (seen in known or (word.isdigit() and seen.isdigit())) and _close(word, seen)
+
+
+@lru_cache(KEPT_WORDS)
+def _close(word: str, seen: str) -> bool:
+    n = len(word)
+    if abs(n - len(seen)) > 4:
         return False
     a, b = _like(word, seen).split("\0")
     if a == b:
         return True
-    n = len(word)
     most = 0 if n < 2 else 1 if n < 6 else 2
     return distance(a, b, most) <= most or distance(word, seen, most) <= most
 
@@ -193,19 +203,31 @@ def _find(index: Index, f: pd.DataFrame) -> pd.DataFrame:
     i = index.at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())]
     span = np.arange(-LEAST_WORDS + 1, LEAST_WORDS + 2)
     m = len(span)
-    far = LEAST_WORDS + 2
+    far = LEAST_WORDS + 2 + max(SHIFTS)
     hp, op = np.pad(h, far, constant_values=-1), np.pad(owner, far, constant_values=-1)
     found = set()
     for a in range(0, len(j), 200_000):
         jj, ii = j[a : a + 200_000], i[a : a + 200_000]
-        eq = (hp[jj[:, None] + far + span] == index.h[ii[:, None] + span]) & (op[jj[:, None] + far + span] == owner[jj][:, None])
+        want, mine = index.h[ii[:, None] + span], owner[jj][:, None]
+        eq = np.zeros(want.shape, dtype=bool)
+        for shift in SHIFTS:
+            near = jj[:, None] + (far + shift) + span
+            one = op[near] == mine
+            eq |= (hp[near] == want) & one
+            both = (hp[near] == index.joined[ii[:, None] + span]) & one
+            eq |= both
+            eq[:, 1:] |= both[:, :-1]
         c = np.concatenate([np.zeros((len(eq), 1), dtype=np.int16), np.cumsum(eq, axis=1, dtype=np.int16)], axis=1)
         ok = (c[:, LEAST_WORDS:] - c[:, : m + 1 - LEAST_WORDS]).max(axis=1, initial=0) >= LEAST_EQUAL
         found.update(zip(jj[ok].tolist(), ii[ok].tolist()))
     rows, begin = set(), np.searchsorted(owner, np.arange(len(size)))
+    judged: dict[int, int] = {}
     for x, y in sorted(found):
         d, k = int(owner[x]), int(index.owner[y])
-        if (d, k) in rows:
+        # A hit that goes on from one just judged is in the same run of words.
+        again = x - judged.get(y - x, -9) <= 3
+        judged[y - x] = x
+        if again or (d, k) in rows:
             continue
         item, i = index.words[k], y - index.begin[k]
         a = max(int(begin[d]), x - 2 * i - 2)

@@ -25,8 +25,10 @@ def test_cases(spark):
         1: doc(part), 2: doc(part[:9]), 3: doc([w.upper() + "," for w in part]), 4: doc([bad(w) if i in (2, 7) else w for i, w in enumerate(part)]),
         5: doc([bad(w) if i in (2, 5) else w for i, w in enumerate(part)]), 6: doc([other[50] if i == 4 else w for i, w in enumerate(part)]),
         7: " ".join(part[:4]) + " " + part[4][:2] + "-\n" + part[4][2:] + " " + " ".join(part[5:]), 8: "", 9: " ".join(item * 2), 10: doc([w[0] + "​" + w[1:] for w in part]),
+        # Split or joined by spacing, alone and together with misreadings.
+        12: doc(part[:4] + [part[4][:2], part[4][2:]] + part[5:]), 13: doc(part[:5] + [part[5] + part[6]] + part[7:]), 14: doc([*part[:6], part[6][:1], part[6][1:], bad(part[7]), *part[8:]]), 15: doc([bad(part[0]), *part[1:5], part[5] + part[6], *part[7:]]),
     }
-    want = [(i, 7) for i in (1, 3, 4, 7, 9, 10)]
+    want = [(i, 7) for i in (1, 3, 4, 7, 9, 10, 12, 13, 14, 15)]
     assert found(spark, [*docs.items(), (11, None)], [(7, " ".join(item)), (8, " ".join(item[:9])), (9, None), (10, "")]) == want
 
 
