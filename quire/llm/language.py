@@ -94,8 +94,8 @@ def features(words: list[str]) -> np.ndarray:
     return np.stack(out, axis=1) if n else np.zeros((0, len(out)), dtype=np.int32)
 
 
-def _forward_backward(em: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """em: T x B x K likelihoods, columns padded behind their length. The words' posteriors and the forward pass."""
+def _forward_backward(em: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """em: T x B x K likelihoods, columns padded behind their length. The words' posteriors, the forward and the backward pass."""
     t_max = em.shape[0]
     alpha = np.empty_like(em)
     a = em[0] / em[0].sum(axis=1, keepdims=True)
@@ -115,7 +115,15 @@ def _forward_backward(em: np.ndarray, length: np.ndarray, trans: np.ndarray) ->
         back[t] = b
     g = alpha * back
     g /= g.sum(axis=2, keepdims=True)
-    return g, alpha
+    return g, alpha, back
+
+
+def _expected_pairs(em: np.ndarray, inside: np.ndarray, trans: np.ndarray, alpha: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """K x K: how many pairs of neighbours there are of each two languages, by the posterior of both together."""
+    right = em[1:] * back[1:]
+    whole = np.einsum("tbi,ij,tbj->tb", alpha[:-1], trans, right)
+    weight = np.where(inside[1:], 1.0 / np.maximum(whole, 1e-300), 0.0)
+    return trans * np.einsum("tbi,tbj->ij", alpha[:-1] * weight[:, :, None], right)
 
 
 class Field:
@@ -169,7 +177,7 @@ class Field:
             inside = t < length
             pos = np.where(inside, a[o] + t, a[o])
             em = np.where(inside[:, :, None], self.table[ids[pos]], np.float32(1))
-            g, _ = _forward_backward(em, length, self.trans)
+            g = _forward_backward(em, length, self.trans)[0]
             mine = inside & (pos >= lo[o]) & (pos < hi[o])
             best = g.argmax(axis=2)
             lang[pos[mine]] = best[mine]
@@ -257,7 +265,7 @@ def _fit(rows: list[tuple[str, str]]) -> Field:
         e = np.exp(s - s.max(axis=1, keepdims=True)) + 1e-8
         trans = np.exp(tr)
         em = np.where(inside[:, :, None], e[back], 1.0)
-        g, alpha = _forward_backward(em, length, trans)
+        g, alpha, after = _forward_backward(em, length, trans)
         gold = np.eye(K)[lab[pos]]
         diff = np.where(inside[:, :, None], g - gold, 0.0)
         by_word = np.stack([np.bincount(back.ravel(), weights=diff[:, :, k].ravel(), minlength=len(seen)) for k in range(K)], axis=1) / batch
@@ -266,18 +274,18 @@ def _fit(rows: list[tuple[str, str]]) -> Field:
             np.add.at(grad, f[seen, c], by_word.astype(np.float32))
         grad[0] = 0
         grad += 1e-5 * w
-        # Pairs of neighbours: expected by the posterior of both (independent given the chain, near enough here), and seen.
         both = inside[1:]
-        exp_pairs = np.einsum("tbi,tbj->ij", np.where(both[:, :, None], g[:-1], 0), np.where(both[:, :, None], g[1:], 0))
-        del alpha
+        exp_pairs = _expected_pairs(em, inside, trans, alpha, after)
         got_pairs = np.einsum("tbi,tbj->ij", np.where(both[:, :, None], gold[:-1], 0), np.where(both[:, :, None], gold[1:], 0))
-        gt = (exp_pairs - got_pairs) / batch + 1e-3 * (tr - np.log(stay))
+        # A weak pull keeps the transitions of unseen pairs finite.
+        gt = (exp_pairs - got_pairs) / batch + 1e-4 * (tr - np.log(stay))
         for x, gr, a, b, rate in ((w, grad, m1, m2, 0.05), (tr, gt, t1, t2, 0.02)):
             a += 0.1 * (gr - a)
             b += 0.01 * (gr * gr - b)
             x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
     trans = np.exp(tr)
-    return Field(w, trans / trans.sum(axis=1, keepdims=True))
+    # Potentials, not probabilities: a common factor makes no difference, a factor by row would.
+    return Field(w, trans / trans.max())
 
 
 def code_of(c: Column) -> Column:

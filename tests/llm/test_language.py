@@ -30,10 +30,30 @@ def test_forward_backward_against_all_paths():
     trans = r.random((L.K, L.K))
     trans /= trans.sum(axis=1, keepdims=True)
     em = r.random((4, 2, L.K))
-    g, _ = L._forward_backward(em, np.array([4, 3]), trans)
+    g, alpha, back = L._forward_backward(em, np.array([4, 3]), trans)
     assert np.allclose(g[:, 0], brute_posterior(em[:, 0], trans)) and np.allclose(g[:3, 1], brute_posterior(em[:3, 1], trans))
 
 
+def test_expected_pairs_against_all_paths():
+    import itertools
+
+    r = np.random.default_rng(2)
+    trans, em = r.random((L.K, L.K)), r.random((4, 2, L.K))
+    size = [4, 3]
+    want = np.zeros((L.K, L.K))
+    for b, n in enumerate(size):
+        pairs, total = np.zeros((L.K, L.K)), 0.0
+        for path in itertools.product(range(L.K), repeat=n):
+            p = em[0, b, path[0]] * np.prod([trans[path[i - 1], path[i]] * em[i, b, path[i]] for i in range(1, n)])
+            total += p
+            for i in range(1, n):
+                pairs[path[i - 1], path[i]] += p
+        want += pairs / total
+    _, alpha, back = L._forward_backward(em, np.array(size), trans)
+    inside = np.arange(4)[:, None] < np.array(size)
+    assert np.allclose(L._expected_pairs(em, inside, trans, alpha, back), want)
+
+
 def test_held_out_accuracy(spark):
     """Texts whose label the sample never saw: made of held-out rows of two languages, joined."""
     d = "/root/testdata/sf0.01"
