@@ -194,3 +194,80 @@ def align(a: list[str], b: list[str], pair=None, gap: float = -1.2) -> tuple[flo
         else:
             j -= 1
     return score, out[::-1]
+
+
+def equation_similarity(a: list[str], b: list[str]) -> tuple[float, bool]:
+    """Likeness of two formulas' tokens, and whether they are the same."""
+    n = max(len(a), len(b))
+    return (1.0 if n == 0 else 1.0 - token_distance(a, b) / n), a == b
+
+
+def reading_order(expected: list[str], found: list[str], blocks: list[list[str]] | None = None) -> dict:
+    """Share of the expected words that come in order, and how many neighbouring blocks are swapped. A block stands where
+    the first three words of it that occur once do."""
+    out = {"expected": len(expected), "in_order": lcs_length(expected, found)}
+    out["share"] = round(out["in_order"] / len(expected), 5) if expected else 1.0
+    if blocks is not None:
+        places: dict[tuple, list[int]] = {}
+        for i in range(len(found) - 2):
+            places.setdefault(tuple(found[i : i + 3]), []).append(i)
+        at = []
+        for b in blocks:
+            once = [places[g][0] for g in (tuple(b[i : i + 3]) for i in range(len(b) - 2)) if len(places.get(g, ())) == 1]
+            at += once[:1]
+        out |= {"placed": len(at), "inversions": sum(y < x for x, y in zip(at, at[1:]))}
+    return out
+
+
+def best_span(words: list[str], target: str, least: float = 0.6) -> tuple[int, int, float] | None:
+    """(first, last, ratio) of the run of words likest to the target, which may be a word shorter or longer; the first of equals."""
+    want = len(target.split())
+    best = None
+    for n in range(max(1, want - 1), want + 2):
+        for i in range(len(words) - n + 1):
+            r = ratio(" ".join(words[i : i + n]), target)
+            if r >= least and (best is None or r > best[2]):
+                best = (i, i + n - 1, r)
+    return best
+
+
+def fold_map(text: str, fold) -> tuple[str, list[int]]:
+    """The folded text, and of each of its characters the place it comes from. fold: of one character."""
+    parts = [(f, i) for i, c in enumerate(text) for f in fold(c)]
+    return "".join(f for f, _ in parts), [i for _, i in parts]
+
+
+def folded_find(text: str, needle: str, fold, start: int = 0) -> int:
+    """Where the needle begins in the text when both are folded, from `start` on; -1 if it doesn't."""
+    folded, place = fold_map(text, fold)
+    want = fold_map(needle, fold)[0]
+    k = folded.find(want, next((j for j, i in enumerate(place) if i >= start), len(place)))
+    return place[k] if k >= 0 and want else -1
+
+
+def warped_distance(a: list[float], b: list[float], band: int = 10) -> float:
+    """Dynamic time warping: the least sum of differences along a path that stays within `band` of the diagonal."""
+    n, m = len(a), len(b)
+    band = max(band, abs(n - m))
+    before = [0.0] + [float("inf")] * m
+    for i in range(1, n + 1):
+        row = [float("inf")] * (m + 1)
+        for j in range(max(1, i - band), min(m, i + band) + 1):
+            row[j] = abs(a[i - 1] - b[j - 1]) + min(before[j], row[j - 1], before[j - 1])
+        before = row
+    return before[m]
+
+
+def word_difference(quoted: str | None, printed: str | None) -> str:
+    """How a printed word differs from the quoted one: same, missing, extra, dots, conjunction, letters or different."""
+    if not quoted or not printed:
+        return "extra" if printed else "missing"
+    if quoted == printed:
+        return "same"
+    # Letters that only their dots tell apart.
+    bare = str.maketrans("بتثنيجحخدذرزسشصضطظعغفق", "بببببحححددررسسصصططععفف")
+    if quoted.translate(bare) == printed.translate(bare):
+        return "dots"
+    if {quoted[1:] if quoted[0] in "وف" else quoted} == {printed[1:] if printed[0] in "وف" else printed}:
+        return "conjunction"
+    return "letters" if ratio(quoted, printed) >= 0.5 else "different"

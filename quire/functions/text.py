@@ -218,3 +218,100 @@ def bm25(docs: DataFrame, key: str, words: str, asked: list[str], k: int, k1: fl
 
 def _is(w: str):
     return lambda x: x == F.lit(w)
+
+
+def is_real(c: Column) -> Column:
+    """Whether there is anything to judge: a letter or a digit."""
+    return c.rlike(r"[\p{L}\p{N}]")
+
+
+def same_reading(a: Column, b: Column) -> Column:
+    """Equal letters; of texts without letters equal digits."""
+    letters = lambda c: F.regexp_replace(_match(c), r"\p{N}", "")
+    digits = lambda c: F.regexp_replace(fold_digits(c), r"[^\p{Nd}]", "")
+    return F.when((letters(a) == "") & (letters(b) == ""), (digits(a) == digits(b)) & (digits(a) != "")).otherwise(letters(a) == letters(b))
+
+
+def script_of(c: Column) -> Column:
+    """Arab or Latn by the majority of letters; null without any."""
+    n = lambda p: F.length(c) - F.length(F.regexp_replace(c, p, ""))
+    arab, latn = n(r"\p{IsArabic}"), n(r"\p{IsLatin}")
+    return F.when((arab > 0) | (latn > 0), F.when(arab >= latn, "Arab").otherwise("Latn"))
+
+
+#: Letters and digits that only Persian or Urdu has; a text with one keeps its Persian forms.
+_NOT_ARABIC = r"[ٹڈڑںھہےۓگپچژ]"
+
+
+def arabic_letters(c: Column) -> Column:
+    """Persian kaf and ya as an Arabic text has them: ya with dots before a letter, without at a word's end."""
+    x = F.replace(c, F.lit("ک"), F.lit("ك"))
+    x = F.regexp_replace(x, rf"ی(?={MARKS}*[\x{{0620}}-\x{{064A}}\x{{066E}}-\x{{06D3}}])", "ي")
+    return F.when(c.rlike(_NOT_ARABIC), c).otherwise(F.replace(x, F.lit("ی"), F.lit("ى")))
+
+
+def arabic_digits(c: Column) -> Column:
+    """Persian digits as Arabic ones, but in a Persian or Urdu text."""
+    return F.when(c.rlike(_NOT_ARABIC), c).otherwise(F.translate(c, "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩"))
+
+
+def joined_runs(c: Column) -> Column:
+    """A word's runs of connected letters: they end behind letters that don't join to the left. Marks stay with their
+    letter; digits, Latin and signs make a run of their own."""
+    # Letters that join to the right only, and the one that joins to neither side.
+    ends, alone = "اأإآدذرزوؤةىٱ", "ء"
+    m = rf"{MARKS}*"
+    inner = rf"[\x{{0620}}-\x{{064A}}\x{{066E}}-\x{{06D3}}&&[^{ends}{alone}]]"
+    return F.regexp_extract_all(c, F.lit(rf"((?:{inner}{m})*[{ends}]{m}|{alone}{m}|(?:{inner}{m})+{alone}{m}|(?:{inner}{m})+|[^\s\x{{0620}}-\x{{06D3}}]+)"), 1)
+
+
+def graphemes(c: Column) -> Column:
+    """User-perceived characters; a carriage return and line feed are one."""
+    return F.regexp_extract_all(c, F.lit(r"(\X)"), 1)
+
+
+def attached_punctuation(c: Column) -> Column:
+    """Words, each with the lone punctuation behind it."""
+    return F.regexp_extract_all(squeeze(c), F.lit(r"(\S*[\p{L}\p{N}]\S*(?: [^\s\p{L}\p{N}]+(?=\s|$))*|^[^\p{L}\p{N}]+(?=\s|$))"), 1)
+
+
+def latex_tokens(c: Column) -> Column:
+    """Commands, escapes, letters, digits and signs of a formula; braces around one of them and spacing left out."""
+    x = F.regexp_replace(c, r"\\(?:left|right|displaystyle|textstyle|qquad|quad|[,;!])(?![A-Za-z])", " ")
+    x = F.regexp_replace(F.regexp_replace(x, r"^[\s$]+|[\s$]+$", ""), r"\{\s*(\\[A-Za-z]+|\\.|\S)\s*\}", " $1 ")
+    return F.regexp_extract_all(x, F.lit(r"(\\[A-Za-z]+|\\.|[A-Za-z]|\d|\S)"), 1)
+
+
+def year_in_range(c: Column) -> Column:
+    """The first number from 1500 to 2099 that stands by itself."""
+    return F.nullif(F.regexp_extract(fold_digits(c), r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1), F.lit("")).cast("int")
+
+
+# Month names of three calendars (folded) and seasons.
+MONTHS = {
+    "gregorian": "يناير كانون الثاني|فبراير شباط|مارس اذار|ابريل نيسان|مايو ايار|يونيو حزيران|يوليو تموز|اغسطس اب|سبتمبر ايلول|اكتوبر تشرين الاول|نوفمبر تشرين الثاني|ديسمبر كانون الاول",
+    "hijri": "محرم|صفر|ربيع الاول|ربيع الاخر|جمادي الاولي|جمادي الاخره|رجب|شعبان|رمضان|شوال|ذو القعده|ذو الحجه",
+}
+
+
+def month_numbers(c: Column) -> Column:
+    """struct(gregorian, hijri): the months a label names, of a calendar the one with the longest name that begins there."""
+    x = F.replace(fold_letters(strip_marks(c)), F.lit(" "), F.lit(""))
+
+    def number(calendar: str, names: list[tuple[str, int]]) -> Column:
+        out = F.lit(None).cast("int")
+        for name, k in sorted(names, key=lambda n: len(n[0])):
+            out = F.when(x.rlike(rf"(?:^|[/\-–،,]|و){name}"), k).otherwise(out)
+        return out.alias(calendar)
+
+    folded = str.maketrans(LETTERS_FROM, LETTERS_TO)
+    one = lambda w: w.translate(folded).replace(" ", "")
+    greg = [(one(n), k) for k, ns in enumerate(MONTHS["gregorian"].split("|"), 1) for n in (ns.split(" ", 1))]
+    hij = [(one(n), k) for k, n in enumerate(MONTHS["hijri"].split("|"), 1)]
+    return F.struct(number("gregorian", greg), number("hijri", hij))
+
+
+def history_dates(c: Column) -> Column:
+    """array(struct(kind, printed)): received, revised and accepted dates of a line."""
+    x = F.regexp_extract_all(c, F.lit(r"(?i)((?:received|revised|accepted)\s*:?\s*[^;،,.]*?\d{4})"), 1)
+    return F.transform(x, lambda p: F.struct(F.lower(F.regexp_extract(p, r"^(\p{L}+)", 1)).alias("kind"), F.trim(F.regexp_replace(p, r"^\p{L}+\s*:?\s*", "")).alias("printed")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.kernels import iou
@@ -61,3 +61,61 @@ def match_lines(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """
     cols = ["page_id", "id", "box", "text"]
     return gold.select(*cols).groupBy("page_id").cogroup(pred.select(*[F.col(x).alias(x) for x in cols]).groupBy("page_id")).applyInPandas(_match, "page_id string, gold string, pred string, score double")
+
+
+#: Boxes are near identical within a pixel at the origin and three in size; a centre may lie so far outside of a box.
+NEAR_ORIGIN, NEAR_SIZE, PAD, GRID = 1, 3, 2, 100
+
+
+def crosswalk(strings: DataFrame, words: DataFrame) -> DataFrame:
+    """(page_id, string_id, word_id, how): which words a layout's strings are. Both: (page_id, id, x, y, w, h).
+
+    A word whose box is nearly the string's is its only one (`box`); a string without such a one gets every word whose
+    centre lies in it, padded by PAD (`centre`). Origins are rounded to cells that join by equality, a string's box is
+    dealt to the squares of a grid: no pairs of a whole page are formed.
+    """
+    s = strings.select("page_id", F.col("id").alias("string_id"), *[F.col(c).alias(f"s{c}") for c in "xywh"])
+    w = words.select("page_id", F.col("id").alias("word_id"), *[F.col(c).alias(f"w{c}") for c in "xywh"])
+    cell = 2 * NEAR_ORIGIN + 1
+    around = lambda c: F.array_distinct(F.transform(F.array(F.lit(-NEAR_ORIGIN), F.lit(NEAR_ORIGIN)), lambda k: F.floor((F.col(c) + k) / cell)))
+    a = s.withColumn("cx", F.explode(around("sx"))).withColumn("cy", F.explode(around("sy")))
+    b = w.withColumn("cx", F.floor(F.col("wx") / cell)).withColumn("cy", F.floor(F.col("wy") / cell))
+    near = (F.abs(F.col("sx") - F.col("wx")) <= NEAR_ORIGIN) & (F.abs(F.col("sy") - F.col("wy")) <= NEAR_ORIGIN) & (F.abs(F.col("sw") - F.col("ww")) < NEAR_SIZE) & (F.abs(F.col("sh") - F.col("wh")) < NEAR_SIZE)
+    boxed = a.join(b, ["page_id", "cx", "cy"]).where(near).groupBy("page_id", "string_id").agg(F.min("word_id").alias("word_id"))
+    rest = s.join(boxed.select("page_id", "string_id"), ["page_id", "string_id"], "left_anti")
+    squares = lambda lo, size: F.explode(F.sequence(F.floor((F.col(lo) - PAD) / GRID), F.floor((F.col(lo) + F.col(size) + PAD) / GRID)))
+    r = rest.withColumn("gx", squares("sx", "sw")).withColumn("gy", squares("sy", "sh"))
+    c = w.withColumn("mx", F.col("wx") + F.col("ww") / 2).withColumn("my", F.col("wy") + F.col("wh") / 2).withColumn("gx", F.floor(F.col("mx") / GRID)).withColumn("gy", F.floor(F.col("my") / GRID))
+    inside = F.col("mx").between(F.col("sx") - PAD, F.col("sx") + F.col("sw") + PAD) & F.col("my").between(F.col("sy") - PAD, F.col("sy") + F.col("sh") + PAD)
+    centred = r.join(c, ["page_id", "gx", "gy"]).where(inside).select("page_id", "string_id", "word_id").distinct()
+    return boxed.withColumn("how", F.lit("box")).unionByName(centred.withColumn("how", F.lit("centre")))
+
+
+def line_map(walk: DataFrame, string_lines: DataFrame, word_lines: DataFrame) -> DataFrame:
+    """(page_id, line, word_line, share): each layout line's line in the engine's reading, by the votes of its words; ties to the smallest."""
+    v = walk.join(string_lines, ["page_id", "string_id"]).join(word_lines, ["page_id", "word_id"]).groupBy("page_id", "line", "word_line").agg(F.count("*").alias("n"))
+    return v.groupBy("page_id", "line").agg(F.min_by("word_line", F.struct((-F.col("n")).alias("n"), "word_line")).alias("word_line"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
+
+
+def lost_in_tables(lines: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """Lines whose centre lies in a table but in none of its cells. All: (page_id, id, x, y, w, h), cells also have table_id."""
+    c = lines.select("page_id", F.col("id").alias("line_id"), (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
+    holds = (F.col("mx") >= F.col("x")) & (F.col("mx") < F.col("x") + F.col("w")) & (F.col("my") >= F.col("y")) & (F.col("my") < F.col("y") + F.col("h"))
+    t = c.join(tables.select("page_id", F.col("id").alias("table_id"), "x", "y", "w", "h"), "page_id").where(holds).select("page_id", "table_id", "line_id", "mx", "my")
+    held = t.join(cells.select("page_id", "table_id", "x", "y", "w", "h"), ["page_id", "table_id"]).where(holds).select("page_id", "table_id", "line_id").distinct()
+    return t.select("page_id", "table_id", "line_id").join(held, ["page_id", "table_id", "line_id"], "left_anti")
+
+
+def notes_matched(marks: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc, mark_id, note_id, where): each mark with its note. marks, notes: (doc, page, label, pos, mark_id | note_id).
+
+    The first free note of the label on the mark's page, the k-th mark with the k-th note; marks left over take the
+    document's notes left over in the same way (notes at the end), in reading order.
+    """
+    order = lambda d, by: d.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("page", "pos")))
+    here = ["doc", "page", "label"]
+    a = order(marks, here).join(order(notes, here).select("doc", "page", "label", "k", "note_id"), [*here, "k"]).select("doc", "mark_id", "note_id", F.lit("page").alias("where"))
+    left_m = marks.join(a.select("doc", "mark_id"), ["doc", "mark_id"], "left_anti")
+    left_n = notes.join(a.select("doc", "note_id"), ["doc", "note_id"], "left_anti")
+    b = order(left_m, ["doc", "label"]).join(order(left_n, ["doc", "label"]).select("doc", "label", "k", "note_id"), ["doc", "label", "k"]).select("doc", "mark_id", "note_id", F.lit("end").alias("where"))
+    return a.unionByName(b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Below this an engine's confidence is a reason to doubt a word.
@@ -111,3 +111,48 @@ def ragged_tables(cells: DataFrame) -> DataFrame:
     c = cells.select("table_id", F.explode(F.sequence("row", F.col("row") + F.greatest(F.col("rowspan"), F.lit(1)) - 1)).alias("r"), F.greatest(F.col("colspan"), F.lit(1)).alias("w"))
     rows = c.groupBy("table_id", "r").agg(F.sum("w").alias("w"))
     return rows.groupBy("table_id").agg(F.array_sort(F.collect_set("w")).alias("widths")).where(F.size("widths") > 1)
+
+
+def mention_trust(block: Column, misprint: Column, worst: Column) -> Column:
+    """A mention's trust from its block's: x .85 for a misprint, x .7 or .85 by the worst flag (high, medium) on it."""
+    return F.round(block * F.when(misprint, 0.85).otherwise(1.0) * F.when(worst == "high", 0.7).when(worst == "medium", 0.85).otherwise(1.0), 3)
+
+
+def severity_rank(c: Column) -> Column:
+    return F.when(c == "high", 1).when(c == "medium", 2).when(c == "low", 3).otherwise(4)
+
+
+def routed(confidence: Column, passes: Column, dismissed: Column, tries: Column, least: float = 0.9, most_tries: int = 2) -> Column:
+    """auto only with both keys, confidence and the code's check; else dismissed, retry while tries are left, human."""
+    return F.when(dismissed, "dismissed").when(F.coalesce((confidence >= least) & passes, F.lit(False)), "auto").when(tries < most_tries, "retry").otherwise("human")
+
+
+def noise_evidence(words: DataFrame, by: list[str]) -> DataFrame:
+    """(by, words, pale, unknown, conf): of each line or block, weighted by the words' letters: how pale, unknown and uncertain it is.
+
+    words: by, text, ink (its strength by the page's), known (in the lexicon), conf.
+    """
+    n = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).cast("double")
+    x = words.withColumn("__n", n).where("__n > 0")
+    mean = lambda c: F.round(F.sum(c * F.col("__n")) / F.sum(F.when(c.isNotNull(), F.col("__n"))), 6)
+    return x.groupBy(*by).agg(F.count("*").alias("words"), mean(1.0 - F.least(F.col("ink"), F.lit(1.0))).alias("pale"), mean(F.when(F.col("known"), 0.0).otherwise(1.0)).alias("unknown"), mean(F.col("conf")).alias("conf"))
+
+
+def foreign_share(lines: DataFrame, doc: str, foreign: str) -> DataFrame:
+    """(doc, lines, share, flag): lines of another article: `most` from 0.4 on, `inner` if lines of its own stand before and
+    behind one, `edge` otherwise. lines: (doc, pos, foreign BOOLEAN)."""
+    own, other = F.when(~F.col(foreign), F.col("pos")), F.when(F.col(foreign), F.col("pos"))
+    g = lines.groupBy(doc).agg(F.count("*").alias("lines"), F.round(F.avg(F.col(foreign).cast("double")), 6).alias("share"), F.min(own).alias("a"), F.max(own).alias("z"), F.min(other).alias("p"), F.max(other).alias("q")).where("share > 0")
+    return g.select(doc, "lines", "share", F.when(F.col("share") >= 0.4, "most").when((F.col("p") > F.col("a")) & (F.col("q") < F.col("z")), "inner").otherwise("edge").alias("flag"))
+
+
+def real_words(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
+    """The words with `real`: in the lexicon as they are, or without a prefix or suffix (three letters kept). Each distinct
+    form is looked up once."""
+    # Prefixes and suffixes that are written together with a word.
+    pre, post = r"^(?:وال|بال|كال|فال|ال|لل|و|ف|ب|ك|ل|س)(?=.{3})", r"(?<=.{3})(?:هما|كما|ها|هم|هن|نا|كم|ون|ين|ات|ان|ه|ك|ي)$"
+    forms = words.select(F.col(word).alias("__w")).where("__w is not null").distinct()
+    no_pre = F.regexp_replace("__w", pre, "")
+    tried = F.array_distinct(F.array(F.col("__w"), no_pre, F.regexp_replace("__w", post, ""), F.regexp_replace(no_pre, post, "")))
+    known = forms.select("__w", F.explode(tried).alias("__t")).join(lexicon.select(F.col(word).alias("__t")).distinct(), "__t", "left_semi").select("__w").distinct().withColumn("real", F.lit(True))
+    return words.join(known, words[word] == known["__w"], "left").drop("__w").withColumn("real", F.coalesce("real", F.lit(False)))

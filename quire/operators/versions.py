@@ -55,3 +55,47 @@ def symmetric_diff(a: DataFrame, b: DataFrame, volatile: list[str] = ()) -> Data
     cols = [c for c in a.columns if c not in volatile]
     x, y = a.select(*cols), b.select(*cols)
     return x.exceptAll(y).withColumn("side", F.lit("first")).unionByName(y.exceptAll(x).withColumn("side", F.lit("second")))
+
+
+#: Who goes before whom where patches touch the same thing.
+RANKS = ("person", "judge", "retry")
+
+
+def _applied(f):
+    import pandas as pd
+
+    taken: dict[str, str] = {}
+    rows = []
+    for r in f.sort_values(["rank", "created", "patch_id"]).itertuples():
+        targets = [] if r.targets is None else list(r.targets)
+        by = next((taken[x] for x in targets if x in taken and taken[x][0] < r.rank), None)
+        if by is None:
+            for x in targets:
+                taken.setdefault(x, (r.rank, r.patch_id))
+        rows.append((r.doc, r.patch_id, "applied" if by is None else "blocked", None if by is None else by[1]))
+    return pd.DataFrame(rows, columns=["doc", "patch_id", "outcome", "blocked_by"])
+
+
+def patch_outcomes(patches: DataFrame) -> DataFrame:
+    """(doc, patch_id, outcome, blocked_by) of patches (doc, patch_id STRING, by, created, targets ARRAY<STRING>).
+
+    A document's patches go in the order of RANKS (others last), then by time and id; a target that one of a higher rank
+    has claimed blocks those below. A document's patches are bounded by its size, so they are one group. A patch without
+    targets always applies.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, RANKS)), F.col("by")), F.lit(0)), F.lit(len(RANKS) + 1)).cast("int")
+    p = patches.select("doc", "patch_id", rank.alias("rank"), "created", "targets")
+    return p.groupBy("doc").applyInPandas(_applied, "doc string, patch_id string, outcome string, blocked_by string")
+
+
+def word_changes(then: DataFrame, now: DataFrame, keys: list[str], text: str, scope: DataFrame | None = None) -> DataFrame:
+    """(keys, gone, added): rows whose words differ between two states, within the keys of `scope`; words as multisets."""
+    words = lambda d, c: d.select(*keys, F.split(F.coalesce(text, F.lit("")), r"\s+").alias(c))
+    x = words(then, "a").join(words(now, "b"), keys, "full")
+    if scope is not None:
+        x = x.join(scope.select(*keys).distinct(), keys, "left_semi")
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    count = lambda ws, w: F.size(F.filter(ws, lambda v: v == w))
+    more = lambda p, q: F.array_sort(F.filter(F.array_distinct(p), lambda w: (w != "") & (count(p, w) > count(q, w))))
+    return x.select(*keys, more(a, b).alias("gone"), more(b, a).alias("added")).where((F.size("gone") > 0) | (F.size("added") > 0))

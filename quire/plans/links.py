@@ -1,60 +1,68 @@
-"""Links found by search over whole tables, where the queries with SQL look only at rows that share a key."""
+"""Links found by search over whole tables: works, quotations, near duplicates, titles in texts."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import linkage as L
 from quire.plans.citations import t
-from quire.plans.scripts import folded, words
+from quire.plans.texts import fold_sql, folded, worded, words_sql
 
 QUERIES, ORACLE = {}, {}
 #: Words of a shingle, the share of the smaller text's shingles that near duplicates share, and words that find a title.
 SHINGLE, ALIKE, TITLE_WORDS = 5, 0.8, 5
 
 
-def _worded(df, key, w):
-    """(key, w): behind a generator, so that the folding isn't repeated for every n-gram."""
-    return df.select(key, F.explode(F.array(w)).alias("w"))
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
 
+    return add
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
 
-
-@query
-def linkage_score_all(s, d):
+@query()
+def linkage_score(s, d):
     """(stem, work_stem, title_ratio, score, best): each article of `masters` with the works of `catalogue` alike enough, of whatever stem.
 
-    The articles have no authors; as in linkage_score, the language takes that weight.
+    The articles have no authors; the language takes that weight. Equal titles are compared once.
     """
-    a = t(s, d, "articles").select("source", "stem", folded("title").alias("title"), F.col("language").alias("author"), F.col("pub_year").alias("year")).where("title <> ''").distinct()
-    a = a.withColumn("id", F.sha1(F.to_json(F.struct("source", "stem", "title", "author", "year"))))
-    cited = a.where("source = 'masters'").withColumnRenamed("id", "cite_id")
-    works = a.where("source = 'catalogue'").withColumnRenamed("id", "work_id")
-    x = L.scored(L.candidates(cited, works), cited, works).join(cited.select("cite_id", "stem"), "cite_id").join(works.select("work_id", F.col("stem").alias("work_stem")), "work_id")
+    a = t(s, d, "articles").where("title is not null").select("source", "stem", folded("title").alias("title"), F.col("language").alias("author"), F.col("pub_year").alias("year")).where("title <> ''").distinct()
+    cited, works = a.where("source = 'masters'"), a.where("source = 'catalogue'")
+    alike = L.alike_titles(cited.select("title").distinct(), works.select("title").distinct())
+    right = works.select(F.col("title").alias("work_title"), F.col("stem").alias("work_stem"), F.col("author").alias("a2"), F.col("year").alias("y2"))
+    x = cited.join(alike, "title").join(right, "work_title").withColumn("score", L.score("title_ratio", "author", "a2", "year", "y2"))
     x = x.groupBy("stem", "work_stem").agg(F.round(F.max("title_ratio"), 6).alias("title_ratio"), F.round(F.max("score"), 6).alias("score"))
     return L.best(x, "stem", "work_stem")
 
 
-@query
+@query()
 def quotation_matches(s, d):
     """(doc_id, ref_id, first, last, matched, span): the runs of words in which documents quote eval_items."""
-    return L.quotations(_worded(t(s, d, "documents"), "doc_id", words()).withColumnRenamed("w", "words"), _worded(t(s, d, "eval_items").withColumnRenamed("item_id", "ref_id"), "ref_id", words()).withColumnRenamed("w", "words"))
+    return L.quotations(worded(t(s, d, "documents"), "doc_id", w="words"), worded(t(s, d, "eval_items").withColumnRenamed("item_id", "ref_id"), "ref_id", w="words"))
 
 
-@query
-def near_duplicates(s, d):
-    """(doc_a, doc_b, share), doc_a < doc_b: documents that share ALIKE of the smaller one's shingles.
+_GRAMS = f"""w AS (SELECT doc_id, {words_sql("text")} AS w FROM documents), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id, w FROM w WHERE len(w) > 0),
+  g AS (SELECT doc_id, CASE WHEN len(w) >= {SHINGLE} THEN list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) ELSE [array_to_string(w, ' ')] END AS g FROM c WHERE doc_id = class_id),
+  e AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+  p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) AS share FROM e x JOIN e y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) / least(any_value(x.n), any_value(y.n)) >= {ALIKE})"""
 
-    Of any (1 - ALIKE) n + 1 of a document's n shingles, a document that shares ALIKE of them has one: the rarest ones
-    find all pairs, which are then counted.
-    """
-    w = _worded(t(s, d, "documents"), "doc_id", words()).where("size(w) > 0")
+
+def _classes(s, d) -> DataFrame:
+    """(doc_id, class_id, w): a class is documents of equal words, named by the smallest of them; those without words have none."""
+    w = worded(t(s, d, "documents"), "doc_id").where("size(w) > 0").withColumn("h", F.sha2(F.array_join("w", " "), 256))
+    return w.join(w.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h")
+
+
+def _near(docs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, share) of (doc_id, w). Of any (1 - ALIKE) n + 1 of a document's n shingles, a document that shares
+    ALIKE of them has one: the rarest ones find all pairs, which are then counted."""
     grams = F.when(F.size("w") >= SHINGLE, X.ngrams(F.col("w"), SHINGLE)).otherwise(F.array(F.array_join("w", " ")))
-    docs = w.select("doc_id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("g"))
+    docs = docs.select("doc_id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("g"))
     each = docs.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("g"))
     df = each.groupBy("g").agg(F.count("*").alias("df"))
     shared = each.join(df.where("df > 1"), "g")
@@ -64,20 +72,35 @@ def near_duplicates(s, d):
     seek = own.where(left > 0).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.least(left.cast("int"), F.size("s")))).alias("s")).select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s.g").alias("g"))
     pairs = seek.join(shared.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "g"), "g").where("na < nb or (na = nb and a <> b)").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
     x = pairs.join(docs.select(F.col("doc_id").alias("doc_a"), F.col("g").alias("ga")), "doc_a").join(docs.select(F.col("doc_id").alias("doc_b"), F.col("g").alias("gb")), "doc_b")
-    return x.select("doc_a", "doc_b", F.round(X.tokset("ga", "gb"), 6).alias("share")).where(F.col("share") >= ALIKE)
+    return x.select("doc_a", "doc_b", X.tokset("ga", "gb").alias("share")).where(F.col("share") >= ALIKE).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {_GRAMS} SELECT doc_a, doc_b, share FROM p")
+def near_duplicates(s, d):
+    """(doc_a, doc_b, share), doc_a < doc_b: classes that share ALIKE of the smaller one's shingles, by their first documents."""
+    return _near(_classes(s, d).where("doc_id = class_id"))
+
+
+@query(f"WITH {_GRAMS}, l AS (SELECT doc_a AS k FROM p UNION ALL SELECT doc_b FROM p), n AS (SELECT k, count(*) AS n FROM l GROUP BY 1) SELECT c.doc_id, c.class_id, coalesce(n.n, 0) AS links FROM c LEFT JOIN n ON c.class_id = n.k")
+def near_duplicate_classes(s, d):
+    """(doc_id, class_id, links): every document with words, its class and how many other classes are near it."""
+    c = _classes(s, d)
+    p = _near(c.where("doc_id = class_id"))
+    n = p.select(F.col("doc_a").alias("class_id")).unionByName(p.select(F.col("doc_b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("links"))
+    return c.select("doc_id", "class_id").join(n, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@query
-def title_inside_text_all(s, d):
-    """(stem, doc_id): articles whose title stands in a document, of whatever stem."""
-    a = t(s, d, "articles").select("stem", folded("title").alias("k")).where("length(k) >= 8").distinct()
+@query(f"""WITH a AS (SELECT DISTINCT stem, {fold_sql("title")} AS k FROM articles), o AS (SELECT doc_id, ' ' || {fold_sql("text")} || ' ' AS body FROM documents)
+  SELECT DISTINCT stem, doc_id FROM (SELECT * FROM a WHERE length(k) >= 8 AND contains(k, ' ')) a JOIN o ON contains(body, ' ' || k || ' ')""")
+def title_inside_text(s, d):
+    """(stem, doc_id): articles whose title, of two words and eight characters at least, stands in a document, of whatever stem."""
+    a = t(s, d, "articles").where("title is not null").select("stem", folded("title").alias("k")).where("length(k) >= 8 and contains(k, ' ')").distinct()
     titles = a.select("k").distinct().withColumn("w", F.split("k", " ")).withColumn("n", F.least(F.size("w"), F.lit(TITLE_WORDS))).select("k", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")).alias("g"))
     sizes = sorted(r[0] for r in titles.select("n").distinct().collect())
-    docs = t(s, d, "documents").select("doc_id", folded().alias("body")).where("body <> ''")
-    w = _worded(docs, "doc_id", F.split("body", " "))
+    docs = worded(t(s, d, "documents"), "doc_id")
     keyed = lambda n: F.transform(X.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g")))
-    grams = F.concat(*[keyed(n) for n in sizes or [1]])
-    seen = w.select("doc_id", F.explode(F.array_distinct(grams)).alias("x")).select("doc_id", "x.n", "x.g")
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[keyed(n) for n in sizes or [2]]))).alias("x")).select("doc_id", "x.n", "x.g")
     pairs = seen.join(titles, ["n", "g"]).select("doc_id", "k")
-    hits = pairs.join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "k", F.lit(" ")))).select("doc_id", "k")
+    body = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
+    hits = pairs.join(body, "doc_id").where(F.contains("body", F.concat(F.lit(" "), "k", F.lit(" ")))).select("doc_id", "k")
     return hits.join(a, "k").select("stem", "doc_id").distinct()

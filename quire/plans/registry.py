@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import orphans
-from quire.plans import canned, citations, links, quality, scripts, texts
+from quire.plans import archive, canned, citations, flags, layout, links, quality, texts
 from quire.streaming import windows
 
-MODULES = [citations, canned, texts, scripts, links, quality, windows, orphans]
+MODULES = [citations, canned, texts, links, layout, archive, quality, flags, windows, orphans]
 
 
 def queries() -> dict:

@@ -23,27 +23,52 @@ def query(sql: str | None = None):
 
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 20_000
-#: ASCII words in lower case; both engines agree on them.
-WORDS = "string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')"
+# Both engines fold alike: composed; without marks, tatweel, joiners and direction signs; letters and digits folded, lower
+# case; what is neither letter, mark nor digit of any script becomes one blank. Two capitals that have no plain small letter go first.
+_GONE = "|".join((X.MARKS, X.TATWEEL, X.BIDI, X.JOINERS))
+_FROM, _TO = X.LETTERS_FROM + X.DIGITS_FROM + "İΣ", X.LETTERS_TO + X.DIGITS_TO + "iσ"
+_APART = r"[^\p{L}\p{M}\p{N}]+"
 
 
-def ascii_words(c="text"):
-    return F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]+", " ")), " ")
+def fold_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower(translate(regexp_replace(nfc_normalize({c}), '{_GONE}', '', 'g'), '{_FROM}', '{_TO}')), '{_APART}', ' ', 'g'))"
+
+
+def folded(c="text"):
+    return F.trim(F.regexp_replace(F.lower(F.translate(F.regexp_replace(X.nfc(F.col(c)), _GONE, ""), _FROM, _TO)), _APART, " "))
+
+
+def words_sql(c: str) -> str:
+    return f"list_filter(string_split({fold_sql(c)}, ' '), lambda x: x <> '')"
+
+
+def words(c="text"):
+    return F.filter(F.split(folded(c), " "), lambda w: w != "")
+
+
+def worded(df, key, text="text", w="w"):
+    """(key, w): the words, behind a generator so that folding isn't repeated for each use of them; null texts have none."""
+    return df.where(F.col(text).isNotNull()).select(key, F.explode(F.array(words(text))).alias(w))
+
+
+WORDS = words_sql("text")
 
 
 @query(f"""SELECT coalesce(lang, '-') AS lang, count(*) AS docs, CAST(sum(len({WORDS})) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def folded_token_counts(s, d):
-    return t(s, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("docs"), F.sum(F.size(ascii_words())).cast("long").alias("words"), F.sum(F.length("text")).alias("chars"))
+    return t(s, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("docs"), F.sum(F.size(words())).cast("long").alias("words"), F.sum(F.length("text")).alias("chars"))
 
 
 @query(f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM words) WHERE length(w) >= 2 GROUP BY 1 HAVING count(*) >= 2""")
 def word_list_learning(s, d):
-    return t(s, d, "words").select(F.explode(ascii_words()).alias("word")).where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    # The spellings are counted first, so that each is folded once.
+    spelled = t(s, d, "words").where("text is not null").groupBy("text").agg(F.count("*").alias("k"))
+    return spelled.select("k", F.explode(words()).alias("word")).where("length(word) >= 2").groupBy("word").agg(F.sum("k").alias("n")).where("n >= 2")
 
 
 @query(f"""SELECT w AS word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest({WORDS}) AS w FROM documents) WHERE w <> '' GROUP BY 1 HAVING count(*) >= 5""")
 def lexicon_doc_frequency(s, d):
-    return t(s, d, "documents").select("doc_id", F.explode(F.array_distinct(ascii_words())).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("docs")).where("docs >= 5")
+    return t(s, d, "documents").select("doc_id", F.explode(F.array_distinct(words())).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where("docs >= 5")
 
 
 _FR, _EN = ["le", "la", "les", "des", "du", "et", "est", "dans"], ["the", "of", "and", "in", "to", "is", "that", "from"]
@@ -53,7 +78,7 @@ _FR, _EN = ["le", "la", "les", "des", "du", "et", "est", "dans"], ["the", "of",
   length(regexp_replace(text, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM documents)
   SELECT CASE WHEN ar > la THEN 'ara' WHEN fr > en THEN 'fre' ELSE 'eng' END AS guess, count(*) AS docs FROM c GROUP BY 1""")
 def language_by_marker_words(s, d):
-    hits = lambda ws: F.size(F.filter(ascii_words(), lambda x: x.isin(ws)))
+    hits = lambda ws: F.size(F.filter(words(), lambda x: x.isin(ws)))
     n = lambda p: F.length(F.regexp_replace("text", p, ""))
     g = F.when(n(r"[^\x{0600}-\x{06FF}]") > n("[^A-Za-z]"), "ara").when(hits(_FR) > hits(_EN), "fre").otherwise("eng")
     return t(s, d, "documents").groupBy(g.alias("guess")).agg(F.count("*").alias("docs"))
@@ -77,21 +102,20 @@ def contradiction_groups(s, d):
     return t(s, d, "article_runs").where("sha is not null").groupBy("sha").agg(F.count("*").alias("rows_"), F.countDistinct("stem").alias("stems"), F.min("stem").alias("first_stem")).where("stems > 1")
 
 
-@query("""SELECT md5(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) AS key, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE regexp_replace(text, '[^A-Za-z0-9]+', '', 'g') <> '' GROUP BY 1 HAVING count(*) > 1""")
+@query(f"""WITH k AS (SELECT doc_id, regexp_replace(translate(regexp_replace(nfc_normalize(text), '{_GONE}', '', 'g'), '{X.DIGITS_FROM}', '{X.DIGITS_TO}'), '{_APART}', '', 'g') AS k FROM documents)
+  SELECT md5(k) AS key, min(doc_id) AS first_doc, count(*) AS copies FROM k WHERE k <> '' GROUP BY 1 HAVING count(*) > 1""")
 def exact_duplicates(s, d):
-    k = F.regexp_replace("text", "[^A-Za-z0-9]+", "")
-    return t(s, d, "documents").where(k != "").groupBy(F.md5(k).alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
+    """Texts of equal letters and digits, of any script; letters that only resemble each other stay apart."""
+    k = F.regexp_replace(X.fold_digits(F.regexp_replace(X.nfc(F.col("text")), _GONE, "")), _APART, "")
+    k = t(s, d, "documents").select("doc_id", k.alias("k")).where("k <> ''")
+    return k.groupBy(F.md5("k").alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
 
 
-_TITLE = "list_distinct(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), ' '))"
-
-
-@query(f"""WITH a AS (SELECT DISTINCT stem, issue_id, {_TITLE} AS w FROM articles WHERE regexp_matches(lower(title), '[a-z]'))
+@query(f"""WITH a AS (SELECT DISTINCT stem, issue_id, list_distinct({words_sql("title")}) AS w FROM articles WHERE title IS NOT NULL)
   SELECT x.stem AS stem_a, y.stem AS stem_b, round(max(len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w))), 6) AS share FROM a x JOIN a y ON x.issue_id = y.issue_id AND x.stem < y.stem
-  WHERE len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.3 GROUP BY 1, 2""")
+  WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.3 GROUP BY 1, 2""")
 def same_title_candidates(s, d):
-    w = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")), " "))
-    a = t(s, d, "articles").where(F.lower("title").rlike("[a-z]")).select("stem", "issue_id", w.alias("w")).distinct()
+    a = t(s, d, "articles").where("title is not null").select("stem", "issue_id", F.array_sort(F.array_distinct(words("title"))).alias("w")).where("size(w) > 0").distinct()
     b = a.select(F.col("stem").alias("stem_b"), "issue_id", F.col("w").alias("v"))
     x = a.join(b, "issue_id").where("stem < stem_b").withColumn("share", X.tokset("w", "v")).where("share >= 0.3")
     return x.groupBy(F.col("stem").alias("stem_a"), "stem_b").agg(F.round(F.max("share"), 6).alias("share"))
@@ -101,17 +125,15 @@ def same_title_candidates(s, d):
   o AS (SELECT doc_id, {WORDS} AS w FROM documents), ob AS (SELECT DISTINCT doc_id, w[k] || ' ' || w[k + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM o))
   SELECT item_id, count(*) AS seeds, count(DISTINCT doc_id) AS docs FROM ib JOIN ob ON ib.g = ob.g GROUP BY 1""")
 def quotation_seeds(s, d):
-    grams = lambda n, k: t(s, d, n).select(k, F.explode(X.ngrams(ascii_words(), 2)).alias("g")).distinct()
-    return grams("documents", "doc_id").join(grams("eval_items", "item_id"), "g").groupBy("item_id").agg(F.count("*").alias("seeds"), F.countDistinct("doc_id").alias("docs"))
-
+    """How many pairs of neighbouring words of each item stand in documents.
 
-@query("""SELECT DISTINCT a.stem, o.doc_id FROM (SELECT stem, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS k FROM articles) a JOIN documents o ON a.stem = o.stem
-  WHERE length(k) >= 8 AND contains(' ' || trim(regexp_replace(lower(o.text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || k || ' ')""")
-def title_inside_text(s, d):
-    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    a = t(s, d, "articles").select("stem", fold("title").alias("k")).where("length(k) >= 8")
-    o = t(s, d, "documents").select("stem", "doc_id", fold("text").alias("body"))
-    return a.join(o, "stem").where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "k", F.lit(" ")))).select("stem", "doc_id").distinct()
+    The pairs of a document that no item has are gone before the documents' pairs are shuffled: those of the items, the
+    query set, tell them apart where they are few enough to be sent out (Spark decides by their size).
+    """
+    grams = lambda n, k: worded(t(s, d, n), k).select(k, F.explode(F.array_distinct(X.ngrams(F.col("w"), 2))).alias("g"))
+    asked = grams("eval_items", "item_id")
+    hits = grams("documents", "doc_id").join(asked, "g")
+    return hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.sum("n").alias("seeds"), F.count("*").alias("docs"))
 
 
 _ASKED = ["library", "treaty", "survey"]
@@ -119,7 +141,7 @@ _ASKED = ["library", "treaty", "survey"]
 
 @query(f"""SELECT doc_id FROM (SELECT DISTINCT doc_id, unnest({WORDS}) AS w FROM documents) WHERE w IN ({", ".join(map(repr, _ASKED))}) GROUP BY 1 HAVING count(*) = {len(_ASKED)}""")
 def and_search(s, d):
-    return X.and_search(t(s, d, "documents").select("doc_id", ascii_words().alias("w")), "doc_id", "w", _ASKED)
+    return X.and_search(t(s, d, "documents").select("doc_id", words().alias("w")), "doc_id", "w", _ASKED)
 
 
 @query(f"""WITH o AS (SELECT doc_id, {WORDS} AS w FROM documents), tf AS (SELECT doc_id, x AS w, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS x FROM o) WHERE x IN ({", ".join(map(repr, _ASKED))}) GROUP BY 1, 2),
@@ -127,22 +149,7 @@ def and_search(s, d):
   SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(o.w) / avg_len))), 6) AS score
   FROM tf JOIN df ON tf.w = df.w JOIN o ON tf.doc_id = o.doc_id CROSS JOIN n GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""")
 def ranked_search(s, d):
-    return X.bm25(t(s, d, "documents").select("doc_id", ascii_words().alias("w")), "doc_id", "w", _ASKED, 20)
-
-
-_SIM = "1.0 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k), 1)"
-
-
-@query(f"""WITH a AS (SELECT DISTINCT stem, journal_id, source, coalesce(language, '') AS l, coalesce(pub_year, 0) AS y, regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '', 'g') AS k FROM articles)
-  SELECT x.stem, round(max(0.6 * ({_SIM}) + 0.25 * CAST(x.l = y.l AS INT) + 0.15 * CAST(x.y = y.y AS INT)), 6) AS score, count(*) AS candidates
-  FROM a x JOIN a y ON x.stem = y.stem AND x.source = 'masters' AND y.source = 'catalogue' GROUP BY 1""")
-def linkage_score(s, d):
-    k = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", "")
-    a = t(s, d, "articles").select("stem", "journal_id", "source", F.coalesce("language", F.lit("")).alias("l"), F.coalesce("pub_year", F.lit(0)).alias("y"), k.alias("k")).distinct()
-    b = a.where("source = 'catalogue'").select("stem", F.col("l").alias("l2"), F.col("y").alias("y2"), F.col("k").alias("k2"))
-    sim = 1.0 - F.levenshtein("k", "k2") / F.greatest(F.length("k"), F.length("k2"), F.lit(1))
-    score = 0.6 * sim + 0.25 * (F.col("l") == F.col("l2")).cast("int") + 0.15 * (F.col("y") == F.col("y2")).cast("int")
-    return a.where("source = 'masters'").join(b, "stem").groupBy("stem").agg(F.round(F.max(score), 6).alias("score"), F.count("*").alias("candidates"))
+    return X.bm25(t(s, d, "documents").select("doc_id", words().alias("w")), "doc_id", "w", _ASKED, 20)
 
 
 @query()
@@ -162,14 +169,11 @@ def greedy_name_pairs(s, d):
     return m.mapInPandas(run, "stem string, seq int, ours string, theirs string, score double")
 
 
-_A = "regexp_replace(text, '[^ -~]', '', 'g')"
-
-
-@query(f"""WITH o AS (SELECT stem, block_id, arg_min({_A}, (loaded, block_pk)) AS a, arg_max({_A}, (loaded, block_pk)) AS b FROM blocks GROUP BY 1, 2 HAVING count(*) > 1)
-  SELECT split_part(stem, '-', 1) AS journal, count(*) AS blocks, CAST(sum(levenshtein(a, b)) AS BIGINT) AS errors, CAST(sum(length(a)) AS BIGINT) AS chars, round(sum(levenshtein(a, b)) / nullif(sum(length(a)), 0), 6) AS cer FROM o GROUP BY 1""")
+@query()
 def cer_by_journal(s, d):
-    a, k = F.regexp_replace("text", "[^ -~]", ""), F.struct("loaded", "block_pk")
-    o = t(s, d, "blocks").groupBy("stem", "block_id").agg(F.min_by(a, k).alias("a"), F.max_by(a, k).alias("b"), F.count("*").alias("n")).where("n > 1")
+    """First delivery of a block against its last, in characters of any script; DuckDB's distance counts bytes."""
+    k = F.struct("loaded", "block_pk")
+    o = t(s, d, "blocks").withColumn("x", X.squeeze(X.nfc(F.col("text")))).groupBy("stem", "block_id").agg(F.min_by("x", k).alias("a"), F.max_by("x", k).alias("b"), F.count("*").alias("n")).where("n > 1")
     x = o.groupBy(F.substring_index("stem", "-", 1).alias("journal")).agg(F.count("*").alias("blocks"), F.sum(F.levenshtein("a", "b").cast("long")).alias("errors"), F.sum(F.length("a").cast("long")).alias("chars"))
     return x.withColumn("cer", F.round(F.try_divide(F.col("errors"), F.col("chars")), 6))
 

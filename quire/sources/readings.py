@@ -177,3 +177,50 @@ def read_listing(spark, path: str) -> DataFrame:
 def read_records(spark, path: str, field: str = "text") -> DataFrame:
     """(id, text) of JSON Lines records."""
     return spark.read.schema(f"id string, {field} string").json(path).select("id", F.col(field).alias("text"))
+
+
+def _book_text(frames):
+    import io
+    import re
+    import zipfile
+    from html import unescape
+
+    import pandas as pd
+
+    def text(raw: bytes) -> str:
+        x = re.sub(r"(?is)<(script|style|template|head)\b.*?</\1\s*>|<!--.*?-->", " ", raw.decode("utf-8", "replace"))
+        return re.sub(r"\s+", " ", unescape(re.sub(r"(?s)<[^>]*>", " ", x))).strip()
+
+    for f in frames:
+        rows = []
+        for path, content in zip(f["path"], f["content"]):
+            try:
+                book = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:
+                rows.append((path, None, None, "not a book"))
+                continue
+            names = sorted(n for n in book.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+            rows += [(path, i, text(book.read(n)), None) for i, n in enumerate(names)]
+        yield pd.DataFrame(rows, columns=["path", "part", "text", "problem"]).astype({"part": "Int64"}).astype({"part": object})
+
+
+def read_books(spark, path: str) -> DataFrame:
+    """(path, part, text, problem): the visible text of each page file in EPUB books, in the order of their names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+    return files.mapInPandas(_book_text, "path string, part int, text string, problem string")
+
+
+def read_listing_kinds(listing: DataFrame, key: str = "key") -> DataFrame:
+    """(id, kinds): which kinds of files each id of an object listing has, from the ends of their names."""
+    name = F.element_at(F.split(F.col(key), "/"), -1)
+    return listing.select(F.regexp_extract(name, r"^([^.]+)", 1).alias("id"), F.regexp_extract(name, r"\.(.+)$", 1).alias("kind")).groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def checked_gold(pages: DataFrame) -> DataFrame:
+    """(page_id, problem) of pages (page_id, order ARRAY<STRING>, lines ARRAY<STRUCT<id, box ARRAY<DOUBLE>>>): ids twice,
+    boxes that aren't four numbers or have no area, an order that isn't all the lines."""
+    ids = F.transform("lines", lambda x: x["id"])
+    bad = F.exists("lines", lambda x: F.coalesce((F.size(x["box"]) != 4) | (F.get(x["box"], F.lit(2)) <= F.get(x["box"], F.lit(0))) | (F.get(x["box"], F.lit(3)) <= F.get(x["box"], F.lit(1))), F.lit(True)))
+    same = F.array_sort("order") == F.array_sort(ids)
+    p = F.array_compact(F.array(F.when(F.size(F.array_distinct(ids)) < F.size(ids), "line twice"), F.when(bad, "box"), F.when(~F.coalesce(same, F.lit(False)), "order")))
+    return pages.select("page_id", F.explode(p).alias("problem"))

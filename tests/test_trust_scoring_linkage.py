@@ -59,9 +59,14 @@ def test_links(spark):
     v = spark.createDataFrame([(10, "The library of the old treaty", "ali", 1950), (11, "The library of the new treaty", "omar", 1950), (12, "Pottery", None, None)], "work_id int, title string, author string, year int")
     p = L.candidates(c, v)
     assert {tuple(x) for x in p.collect()} == {(1, 10), (1, 11)}
-    b = {(x["cite_id"], x["work_id"]): (round(x["score"], 4), x["best"]) for x in L.best(L.scored(p, c, v)).collect()}
+    fold = lambda d: d.select(F.lower("title").alias("title"))
+    alike = {(x["title"], x["work_title"]): round(x["title_ratio"], 4) for x in L.alike_titles(fold(c), fold(v)).collect()}
     t = ratio("the library of the old treaty", "the library of the new treaty")
-    assert b == {(1, 10): (1.0, 1), (1, 11): (round(0.6 * t + 0.15, 4), 0)}
+    assert alike == {("the library of the old treaty", "the library of the old treaty"): 1.0, ("the library of the old treaty", "the library of the new treaty"): round(t, 4)}
+    s = spark.createDataFrame([(1, 10, 1.0, "ali", "ali", 1950, 1950), (1, 11, t, "ali", "omar", 1950, 1950), (2, 12, 0.9, None, None, None, None)], "cite_id int, work_id int, r double, a1 string, a2 string, y1 int, y2 int")
+    b = {(x["cite_id"], x["work_id"]): (round(x["score"], 4), x["best"]) for x in L.best(s.withColumn("score", L.score("r", "a1", "a2", "y1", "y2"))).collect()}
+    assert b == {(1, 10): (1.0, 1), (1, 11): (round(0.6 * t + 0.15, 4), 0), (2, 12): (0.54, 1)}
+    assert L.candidates(c.limit(0), v).count() == 0 and L.candidates(c, v.limit(0)).count() == 0
     j = lambda sure, a, h: spark.range(1).select(L.judged(F.lit(sure), F.array(*map(F.lit, a)).cast("array<string>"), F.array(*map(F.lit, h)).cast("array<string>"))).first()[0]
     assert (j(True, ["a"], ["a"]), j(False, ["a"], ["b"]), j(True, ["a"], ["b"]), j(False, [], ["b"])) == ("accepted", "rejected", "candidate", "candidate")
 
