@@ -37,7 +37,7 @@ TRACE = 1 / 500
 PAIR_MOST = 0.05
 #: Words of a trie and words looked up in it by one task; more words make more tries.
 TRIE_WORDS, ASKED_WORDS = 20_000, 100_000
-#: So many of the most frequent words that aren't misread are known to every task, which then needn't ask for them.
+#: So many of the most frequent words that aren't misread, at most, are known to every task, which then needn't ask for them.
 FREQUENT = 50_000
 #: Words of a running head at most; pages or articles that must have it.
 HEAD_WORDS, HEAD_PAGES, HEAD_STEMS = 12, 2, 2
@@ -476,9 +476,17 @@ def _judged(frequent: frozenset):
 
 
 def frequent_words(types: DataFrame, misread: DataFrame) -> frozenset:
-    """At most FREQUENT words that need no looking up; it makes no difference to the result which."""
-    t = types.where(F.col("kind") == WORD).join(misread.select("core"), "core", "left_anti")
-    return frozenset(r[0] for r in t.orderBy(F.desc("n"), "core").limit(FREQUENT).select("core").collect())
+    """At most FREQUENT words that need no looking up: all from a power of two on; it makes no difference to the result which."""
+    t = types.where((F.col("kind") == WORD) & (F.col("n") > 0)).withColumn("power", F.floor(F.log2("n")).cast("int"))
+    most, first = 0, None
+    for power, k in sorted(map(tuple, t.groupBy("power").agg(F.count("*")).collect()), reverse=True):  # 63 rows at most
+        most += k
+        if most > FREQUENT:
+            break
+        first = power
+    if first is None:
+        return frozenset()
+    return frozenset(r[0] for r in t.where(F.col("power") >= first).join(misread.select("core"), "core", "left_anti").select("core").collect())
 
 
 def suspects(texts: DataFrame, frequent: frozenset, misread: DataFrame) -> tuple[DataFrame, DataFrame]:
