@@ -118,6 +118,12 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of n words in a row, in order; no texts are put together for them."""
+    size = F.size(words)
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def tokset(a: str, b: str) -> Column:
     """Shared words by the smaller set's size; null for an empty set."""
     return F.size(F.array_intersect(a, b)) / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0))

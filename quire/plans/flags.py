@@ -12,7 +12,7 @@ QUERIES, ORACLE = {}, {}
 #: (query, kind of doubt, severity): queries with a row for each doubtful thing of an article, in its column stem.
 KINDS = [
     (layout, "order_inversions", "medium"), (layout, "lines_placed_twice", "low"), (layout, "doubtful_runs", "high"), (quality, "outlier_pages", "medium"), (quality, "interval_overlaps", "low"),
-    (quality, "level_jump", "low"), (archive, "pages_without_head", "low"), (archive, "call_note_links", "medium"), (archive, "page_continuity", "low"),
+    (quality, "level_jump", "low"), (archive, "pages_without_head", "low"),
 ]
 
 

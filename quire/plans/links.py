@@ -9,10 +9,11 @@ from quire.functions import text as X
 from quire.operators import linkage as L
 from quire.plans.citations import t
 from quire.plans.texts import fold_sql, folded, worded, words_sql
+from quire.session import cut
 
 QUERIES, ORACLE = {}, {}
-#: Words of a shingle, the share of the smaller text's shingles that near duplicates share, and words that find a title.
-SHINGLE, ALIKE, TITLE_WORDS = 5, 0.8, 5
+#: Words of a shingle, the share of the smaller text's shingles that near duplicates share, and first words that find a title.
+SHINGLE, ALIKE, TITLE_WORDS = 5, 0.8, 3
 
 
 def query(sql: str | None = None):
@@ -53,16 +54,18 @@ _GRAMS = f"""w AS (SELECT doc_id, {words_sql("text")} AS w FROM documents), c AS
 
 
 def _classes(s, d) -> DataFrame:
-    """(doc_id, class_id, w): a class is documents of equal words, named by the smallest of them; those without words have none."""
-    w = worded(t(s, d, "documents"), "doc_id").where("size(w) > 0").withColumn("h", F.sha2(F.array_join("w", " "), 256))
-    return w.join(w.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h")
+    """(doc_id, class_id, g): a class is documents of equal words, named by the smallest of them; g are hashes of its
+    shingles. Documents without words have none. The texts are read and folded once."""
+    w = worded(t(s, d, "documents"), "doc_id").where("size(w) > 0")
+    grams = F.when(F.size("w") >= SHINGLE, X.ngram_hashes(F.col("w"), SHINGLE)).otherwise(F.array(F.xxhash64("w")))
+    w = cut(w.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("h"), F.array_distinct(grams).alias("g")))
+    return w.join(w.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").drop("h")
 
 
 def _near(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, share) of (doc_id, w). Of any (1 - ALIKE) n + 1 of a document's n shingles, a document that shares
+    """(doc_a, doc_b, share) of (doc_id, g). Of any (1 - ALIKE) n + 1 of a document's n shingles, a document that shares
     ALIKE of them has one: the rarest ones find all pairs, which are then counted."""
-    grams = F.when(F.size("w") >= SHINGLE, X.ngrams(F.col("w"), SHINGLE)).otherwise(F.array(F.array_join("w", " ")))
-    docs = docs.select("doc_id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("g"))
+    docs = docs.select("doc_id", "g")
     each = docs.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("g"))
     df = each.groupBy("g").agg(F.count("*").alias("df"))
     shared = each.join(df.where("df > 1"), "g")
@@ -95,12 +98,11 @@ def near_duplicate_classes(s, d):
 def title_inside_text(s, d):
     """(stem, doc_id): articles whose title, of two words and eight characters at least, stands in a document, of whatever stem."""
     a = t(s, d, "articles").where("title is not null").select("stem", folded("title").alias("k")).where("length(k) >= 8 and contains(k, ' ')").distinct()
-    titles = a.select("k").distinct().withColumn("w", F.split("k", " ")).withColumn("n", F.least(F.size("w"), F.lit(TITLE_WORDS))).select("k", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")).alias("g"))
+    titles = a.select("k").distinct().withColumn("w", F.split("k", " ")).withColumn("n", F.least(F.size("w"), F.lit(TITLE_WORDS))).select("k", "n", F.xxhash64(F.slice("w", F.lit(1), F.col("n"))).alias("g"))
     sizes = sorted(r[0] for r in titles.select("n").distinct().collect())
     docs = worded(t(s, d, "documents"), "doc_id")
-    keyed = lambda n: F.transform(X.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g")))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[keyed(n) for n in sizes or [2]]))).alias("x")).select("doc_id", "x.n", "x.g")
-    pairs = seen.join(titles, ["n", "g"]).select("doc_id", "k")
+    grams = F.concat(*[X.ngram_hashes(F.col("w"), n) for n in sizes or [2]])
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(titles, "g").select("doc_id", "k")
     body = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
     hits = pairs.join(body, "doc_id").where(F.contains("body", F.concat(F.lit(" "), "k", F.lit(" ")))).select("doc_id", "k")
     return hits.join(a, "k").select("stem", "doc_id").distinct()

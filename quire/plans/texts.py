@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
+import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.plans.citations import t
@@ -34,8 +40,23 @@ def fold_sql(c: str) -> str:
     return f"trim(regexp_replace(lower(translate(regexp_replace(nfc_normalize({c}), '{_GONE}', '', 'g'), '{_FROM}', '{_TO}')), '{_APART}', ' ', 'g'))"
 
 
+_PY_GONE, _PY_APART, _TABLE = regex.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", _GONE)), regex.compile(_APART), str.maketrans(_FROM, _TO)
+_PLAIN = re.compile("[^a-z0-9]+")
+
+
+@F.pandas_udf(T.StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    def one(x: str) -> str:
+        if x.isascii():
+            return _PLAIN.sub(" ", x.lower()).strip(" ")
+        return _PY_APART.sub(" ", _PY_GONE.sub("", unicodedata.normalize("NFC", x)).translate(_TABLE).lower()).strip(" ")
+
+    return s.map(one, na_action="ignore")
+
+
 def folded(c="text"):
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.regexp_replace(X.nfc(F.col(c)), _GONE, ""), _FROM, _TO)), _APART, " "))
+    """Normal forms need Python; the rest goes along in the same Arrow batch, at a tenth of what it takes as expressions."""
+    return _folded(F.col(c))
 
 
 def words_sql(c: str) -> str:
@@ -78,10 +99,10 @@ _FR, _EN = ["le", "la", "les", "des", "du", "et", "est", "dans"], ["the", "of",
   length(regexp_replace(text, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM documents)
   SELECT CASE WHEN ar > la THEN 'ara' WHEN fr > en THEN 'fre' ELSE 'eng' END AS guess, count(*) AS docs FROM c GROUP BY 1""")
 def language_by_marker_words(s, d):
-    hits = lambda ws: F.size(F.filter(words(), lambda x: x.isin(ws)))
+    hits = lambda ws: F.size(F.filter("w", lambda x: x.isin(ws)))
     n = lambda p: F.length(F.regexp_replace("text", p, ""))
     g = F.when(n(r"[^\x{0600}-\x{06FF}]") > n("[^A-Za-z]"), "ara").when(hits(_FR) > hits(_EN), "fre").otherwise("eng")
-    return t(s, d, "documents").groupBy(g.alias("guess")).agg(F.count("*").alias("docs"))
+    return t(s, d, "documents").select("text", F.explode(F.array(F.coalesce(words(), F.array().cast("array<string>")))).alias("w")).groupBy(g.alias("guess")).agg(F.count("*").alias("docs"))
 
 
 @query()
@@ -130,7 +151,7 @@ def quotation_seeds(s, d):
     The pairs of a document that no item has are gone before the documents' pairs are shuffled: those of the items, the
     query set, tell them apart where they are few enough to be sent out (Spark decides by their size).
     """
-    grams = lambda n, k: worded(t(s, d, n), k).select(k, F.explode(F.array_distinct(X.ngrams(F.col("w"), 2))).alias("g"))
+    grams = lambda n, k: worded(t(s, d, n), k).select(k, F.explode(F.array_distinct(X.ngram_hashes(F.col("w"), 2))).alias("g"))
     asked = grams("eval_items", "item_id")
     hits = grams("documents", "doc_id").join(asked, "g")
     return hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.sum("n").alias("seeds"), F.count("*").alias("docs"))
@@ -141,7 +162,7 @@ _ASKED = ["library", "treaty", "survey"]
 
 @query(f"""SELECT doc_id FROM (SELECT DISTINCT doc_id, unnest({WORDS}) AS w FROM documents) WHERE w IN ({", ".join(map(repr, _ASKED))}) GROUP BY 1 HAVING count(*) = {len(_ASKED)}""")
 def and_search(s, d):
-    return X.and_search(t(s, d, "documents").select("doc_id", words().alias("w")), "doc_id", "w", _ASKED)
+    return X.and_search(worded(t(s, d, "documents"), "doc_id"), "doc_id", "w", _ASKED)
 
 
 @query(f"""WITH o AS (SELECT doc_id, {WORDS} AS w FROM documents), tf AS (SELECT doc_id, x AS w, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS x FROM o) WHERE x IN ({", ".join(map(repr, _ASKED))}) GROUP BY 1, 2),
@@ -149,7 +170,7 @@ def and_search(s, d):
   SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(o.w) / avg_len))), 6) AS score
   FROM tf JOIN df ON tf.w = df.w JOIN o ON tf.doc_id = o.doc_id CROSS JOIN n GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""")
 def ranked_search(s, d):
-    return X.bm25(t(s, d, "documents").select("doc_id", words().alias("w")), "doc_id", "w", _ASKED, 20)
+    return X.bm25(worded(t(s, d, "documents"), "doc_id"), "doc_id", "w", _ASKED, 20)
 
 
 @query()
