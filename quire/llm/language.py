@@ -216,9 +216,12 @@ def split_words(text: str) -> list[str]:
 
 
 def _fit(rows: list[tuple[str, str]]) -> Field:
-    """From (text, label)."""
+    """From (text, label). Without any word the field knows nothing, but that languages stay."""
+    stay = np.full((K, K), 0.01 / (K - 1)) + np.eye(K) * (0.99 - 0.01 / (K - 1))
     texts = [split_words(t) for t, _ in rows]
-    y = np.array([LANGS.index(x) for _, x in rows])
+    if not any(texts):
+        return Field(np.zeros((BUCKETS, K)), stay)
+    y = np.array([LANGS.index(x) for _, x in rows], dtype=np.int64)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     kinds: dict[str, int] = {}
     ids = np.array([kinds.setdefault(w, len(kinds)) for t in texts for w in t], dtype=np.int64)
@@ -235,7 +238,6 @@ def _fit(rows: list[tuple[str, str]]) -> Field:
         y = np.stack([np.bincount(owner, weights=s[:, k], minlength=len(size)) for k in range(K)], axis=1).argmax(axis=1)
     # Then words, by the neighbours' words.
     lab = y[owner]
-    stay = np.full((K, K), 0.01 / (K - 1)) + np.eye(K) * (0.99 - 0.01 / (K - 1))
     field = Field(np.zeros((BUCKETS, K)), stay)
     field.rows = kinds
     for _ in range(2):
