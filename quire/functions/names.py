@@ -16,45 +16,67 @@ _WITH = r"(?:عبد )?\S+"
 _LIFE = r"\s*[،,]?\s*\(?\s*(?:(?:ت\.?|توفي|المتوفى|d\.|died)\s*\d{3,4}\s*(?:هـ|ه|م|AH|CE)?|\d{3,4}\s*[-–]\s*\d{3,4}\s*(?:هـ|م)?)\s*\)?\s*$"
 
 
+def _let(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it; else plans would double at each step."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def life_note(c: Column) -> Column:
     """struct(name, born, died, died_hijri) of a heading: its name without the note of life, years in the Gregorian count."""
-    x = fold_digits(c)
-    note = F.regexp_extract(x, _LIFE, 0)
-    years = F.transform(F.regexp_extract_all(note, F.lit(r"(\d{3,4})"), 1), lambda y: y.cast("int"))
-    died, born = F.try_element_at(years, F.lit(-1)), F.when(F.size(years) > 1, F.get(years, F.lit(0)))
-    hijri = note.rlike(r"هـ|ه\b|AH") | ((died < 1500) & ~note.rlike("م"))
-    year = lambda y: F.when(hijri, hijri_to_gregorian(y)).otherwise(y)
-    name = F.trim(F.regexp_replace(x, _LIFE, ""))
-    return F.struct(F.when(name == "", F.trim(x)).otherwise(name).alias("name"), year(born).alias("born"), year(died).alias("died"), F.when(hijri, died).otherwise(gregorian_to_hijri(died)).alias("died_hijri"))
-
-
-def _taken(x: Column, pattern: str) -> tuple[Column, Column]:
-    """What the pattern finds, joined, and the text without it."""
+
+    def parts(s: Column) -> Column:
+        note, died = s["note"], F.try_element_at(s["years"], F.lit(-1))
+        born = F.when(F.size(s["years"]) > 1, F.get(s["years"], F.lit(0)))
+        hijri = note.rlike(r"هـ|ه\b|AH") | ((died < 1500) & ~note.rlike("م"))
+        year = lambda y: F.when(hijri, hijri_to_gregorian(y)).otherwise(y)
+        return F.struct(F.when(s["name"] == "", F.trim(s["x"])).otherwise(s["name"]).alias("name"), year(born).alias("born"), year(died).alias("died"), F.when(hijri, died).otherwise(gregorian_to_hijri(died)).alias("died_hijri"))
+
+    years = lambda note: F.transform(F.regexp_extract_all(note, F.lit(r"(\d{3,4})"), 1), lambda y: y.cast("int"))
+    noted = lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _LIFE, 0).alias("note"), F.trim(F.regexp_replace(x, _LIFE, "")).alias("name"))
+    return _let(fold_digits(c), lambda x: _let(noted(x), lambda s: _let(F.struct(s["x"].alias("x"), s["note"].alias("note"), s["name"].alias("name"), years(s["note"]).alias("years")), parts)))
+
+
+def _taken(x: Column, pattern: str) -> Column:
+    """struct(found, rest): what the pattern finds, joined, and the text without it."""
     found = F.regexp_extract_all(x, F.lit(f"({pattern})"), 1)
-    return F.nullif(F.trim(F.array_join(found, " ")), F.lit("")), squeeze(F.regexp_replace(x, pattern, " "))
+    return F.struct(F.nullif(F.trim(F.array_join(found, " ")), F.lit("")).alias("found"), squeeze(F.regexp_replace(x, pattern, " ")).alias("rest"))
+
+
+_PARTS = ("ism", "nasab", "nisba", "laqab", "kunya", "family", "shuhra")
+
+
+def _latin_parts(x: Column) -> Column:
+    words = F.split(x, " ")
+    several = F.size(words) > 1
+    of = {"ism": F.when(several, F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(F.nullif(x, F.lit(""))), "family": F.when(several, F.element_at(words, -1))}
+    return F.struct(*[of.get(k, F.lit(None).cast("string")).alias(k) for k in _PARTS])
+
+
+def _arabic_parts(x: Column) -> Column:
+    empty = lambda v: F.nullif(v, F.lit(""))
+
+    def core(shuhra, kunya, laqab, nasab):
+        def of(s: Column) -> Column:
+            lone = s["rest"].rlike(r"^ال\S+ي$") & F.coalesce(kunya, laqab, shuhra).isNotNull()
+            nisbas = F.filter(F.split(F.when(lone, s["rest"]).otherwise(s["tail"]), " "), lambda w: w.rlike(r"^ال\S+ي$"))
+            family = F.when(~lone & (s["tail"] != ""), F.element_at(F.split(s["tail"], " "), -1))
+            return F.struct(F.when(~lone, empty(s["first"])).alias("ism"), nasab.alias("nasab"), empty(F.array_join(nisbas, " ")).alias("nisba"), laqab.alias("laqab"), kunya.alias("kunya"), family.alias("family"), shuhra.alias("shuhra"))
+
+        return of
+
+    first = r"^((?:عبد )?\S+)"
+    halves = lambda r: F.struct(r.alias("rest"), F.regexp_extract(r, first, 1).alias("first"), F.trim(F.regexp_replace(r, first, "")).alias("tail"))
+    return _let(_taken(x, r"^(?:ابن|إبن) \S+"), lambda a:
+        _let(_taken(a["rest"], rf"(?:^|(?<=\s))(?:{_KUNYA}) {_WITH}"), lambda b:
+            _let(_taken(b["rest"], rf"(?:^|(?<=\s))\S+ (?:{_HONOUR})(?=\s|$)"), lambda c:
+                _let(_taken(c["rest"], rf"(?:^|(?<=\s))(?:{_BIN}) {_WITH}"), lambda d:
+                    _let(halves(d["rest"]), core(a["found"], b["found"], c["found"], d["found"]))))))
 
 
 def name_parts(c: Column) -> Column:
     """struct(ism, nasab, nisba, laqab, kunya, family, shuhra) of a name; of a Latin one ism and family only."""
-    x = squeeze(display_name(life_note(strip_titles(c))["name"]))
-    shuhra, rest = _taken(x, r"^(?:ابن|إبن) \S+")
-    kunya, rest = _taken(rest, rf"(?:^|(?<=\s))(?:{_KUNYA}) {_WITH}")
-    laqab, rest = _taken(rest, rf"(?:^|(?<=\s))\S+ (?:{_HONOUR})(?=\s|$)")
-    nasab, rest = _taken(rest, rf"(?:^|(?<=\s))(?:{_BIN}) {_WITH}")
-    first = F.regexp_extract(rest, r"^((?:عبد )?\S+)", 1)
-    tail = F.trim(F.substring(rest, F.length(first) + 1, F.length(rest)))
-    lone = rest.rlike(r"^ال\S+ي$") & F.coalesce(kunya, laqab, shuhra).isNotNull()
-    nisbas = F.filter(F.split(F.when(lone, rest).otherwise(tail), " "), lambda w: w.rlike(r"^ال\S+ي$"))
-    empty = lambda v: F.nullif(v, F.lit(""))
-    latin = ~x.rlike(ARABIC)
-    words = F.split(x, " ")
-    arabic = [
-        F.when(~lone, empty(first)).alias("ism"), nasab.alias("nasab"), empty(F.array_join(nisbas, " ")).alias("nisba"), laqab.alias("laqab"), kunya.alias("kunya"),
-        F.when(~lone & (tail != ""), F.element_at(F.split(tail, " "), -1)).alias("family"), shuhra.alias("shuhra"),
-    ]
-    none = F.lit(None).cast("string")
-    simple = [F.when(F.size(words) > 1, F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(empty(x)).alias("ism"), *[none.alias(k) for k in ("nasab", "nisba", "laqab", "kunya")], F.when(F.size(words) > 1, F.element_at(words, -1)).alias("family"), none.alias("shuhra")]
-    return F.when(latin, F.struct(*simple)).otherwise(F.struct(*arabic))
+    name = _let(life_note(strip_titles(c)), lambda s: squeeze(display_name(s["name"])))
+    return _let(name, lambda x: F.when(~x.rlike(ARABIC), _latin_parts(x)).otherwise(_arabic_parts(x)))
 
 
 def name_variants(c: Column) -> Column:
