@@ -6,7 +6,6 @@ import re
 import unicodedata
 
 import pandas as pd
-import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,18 +39,31 @@ def fold_sql(c: str) -> str:
     return f"trim(regexp_replace(lower(translate(regexp_replace(nfc_normalize({c}), '{_GONE}', '', 'g'), '{_FROM}', '{_TO}')), '{_APART}', ' ', 'g'))"
 
 
-_PY_GONE, _PY_APART, _TABLE = regex.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", _GONE)), regex.compile(_APART), str.maketrans(_FROM, _TO)
-_PLAIN = re.compile("[^a-z0-9]+")
+class _Letters(dict):
+    """Code points as they come out: letters, marks and digits folded by a table, what goes as nothing, the rest as `apart`."""
+
+    def __init__(self, table: dict[int, int], apart: str | None):
+        super().__init__()
+        self.table, self.apart, self.gone = table, apart, re.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", _GONE))
+
+    def __missing__(self, c: int) -> str | None:
+        x = chr(c)
+        kept = unicodedata.category(x)[0] in "LMN"
+        self[c] = v = None if self.gone.match(x) else chr(self.table.get(c, c)) if kept else self.apart
+        return v
+
+
+_WORDS_OF, _KEY_OF = _Letters(str.maketrans(_FROM, _TO), " "), _Letters(str.maketrans(X.DIGITS_FROM, X.DIGITS_TO), None)
 
 
 @F.pandas_udf(T.StringType())
 def _folded(s: pd.Series) -> pd.Series:
-    def one(x: str) -> str:
-        if x.isascii():
-            return _PLAIN.sub(" ", x.lower()).strip(" ")
-        return _PY_APART.sub(" ", _PY_GONE.sub("", unicodedata.normalize("NFC", x)).translate(_TABLE).lower()).strip(" ")
+    return s.map(lambda x: " ".join(unicodedata.normalize("NFC", x).translate(_WORDS_OF).lower().split()), na_action="ignore")
+
 
-    return s.map(one, na_action="ignore")
+@F.pandas_udf(T.StringType())
+def _exact(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x).translate(_KEY_OF), na_action="ignore")
 
 
 def folded(c="text"):
@@ -127,8 +139,7 @@ def contradiction_groups(s, d):
   SELECT md5(k) AS key, min(doc_id) AS first_doc, count(*) AS copies FROM k WHERE k <> '' GROUP BY 1 HAVING count(*) > 1""")
 def exact_duplicates(s, d):
     """Texts of equal letters and digits, of any script; letters that only resemble each other stay apart."""
-    k = F.regexp_replace(X.fold_digits(F.regexp_replace(X.nfc(F.col("text")), _GONE, "")), _APART, "")
-    k = t(s, d, "documents").select("doc_id", k.alias("k")).where("k <> ''")
+    k = t(s, d, "documents").select("doc_id", _exact("text").alias("k")).where("k <> ''")
     return k.groupBy(F.md5("k").alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
 
 
