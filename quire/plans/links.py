@@ -44,7 +44,10 @@ def linkage_score(s, d):
 @query()
 def quotation_matches(s, d):
     """(doc_id, ref_id, first, last, matched, span): the runs of words in which documents quote eval_items."""
-    return L.quotations(worded(t(s, d, "documents"), "doc_id", w="words"), worded(t(s, d, "eval_items").withColumnRenamed("item_id", "ref_id"), "ref_id", w="words"))
+    docs = t(s, d, "documents")
+    found = L.quotations(worded(docs, "doc_id", w="words"), worded(t(s, d, "eval_items").withColumnRenamed("item_id", "ref_id"), "ref_id", w="words"))
+    # Ids are unique as a rule; only where they aren't do all runs have to meet.
+    return found if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else found.distinct()
 
 
 _GRAMS = f"""w AS (SELECT doc_id, {words_sql("text")} AS w FROM documents), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id, w FROM w WHERE len(w) > 0),
