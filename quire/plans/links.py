@@ -12,8 +12,8 @@ from quire.plans.texts import fold_sql, folded, worded, words_sql
 from quire.session import cut
 
 QUERIES, ORACLE = {}, {}
-#: Words of a shingle, the share of the smaller text's shingles that near duplicates share, and first words that find a title.
-SHINGLE, ALIKE, TITLE_WORDS = 5, 0.8, 3
+#: Words of a shingle, and the share of the smaller text's shingles that near duplicates share.
+SHINGLE, ALIKE = 5, 0.8
 
 
 def query(sql: str | None = None):
@@ -100,12 +100,5 @@ def near_duplicate_classes(s, d):
   SELECT DISTINCT stem, doc_id FROM (SELECT * FROM a WHERE length(k) >= 8 AND contains(k, ' ')) a JOIN o ON contains(body, ' ' || k || ' ')""")
 def title_inside_text(s, d):
     """(stem, doc_id): articles whose title, of two words and eight characters at least, stands in a document, of whatever stem."""
-    a = t(s, d, "articles").where("title is not null").select("stem", folded("title").alias("k")).where("length(k) >= 8 and contains(k, ' ')").distinct()
-    titles = a.select("k").distinct().withColumn("w", F.split("k", " ")).withColumn("n", F.least(F.size("w"), F.lit(TITLE_WORDS))).select("k", "n", F.xxhash64(F.slice("w", F.lit(1), F.col("n"))).alias("g"))
-    sizes = sorted(r[0] for r in titles.select("n").distinct().collect())
-    docs = worded(t(s, d, "documents"), "doc_id")
-    grams = F.concat(*[X.ngram_hashes(F.col("w"), n) for n in sizes or [2]])
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(titles, "g").select("doc_id", "k")
-    body = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
-    hits = pairs.join(body, "doc_id").where(F.contains("body", F.concat(F.lit(" "), "k", F.lit(" ")))).select("doc_id", "k")
-    return hits.join(a, "k").select("stem", "doc_id").distinct()
+    a = cut(t(s, d, "articles").where("title is not null").select("stem", folded("title").alias("k")).where("length(k) >= 8 and contains(k, ' ')").distinct())
+    return L.phrases_inside(worded(t(s, d, "documents"), "doc_id"), a).select("stem", "doc_id").distinct()

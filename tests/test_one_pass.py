@@ -47,3 +47,37 @@ def test_quotations_of_repeated_and_missing_ids(spark, tmp_path):
     put("eval_items", [(7, "a b c d e"), (7, "a b c d e"), (8, "a"), (9, None)], "item_id long, text string")
     got = registry.queries()["quotation_matches"](spark, str(tmp_path))
     assert {tuple(x) for x in got.collect()} == {(1, 7, 1, 5, 5, 5), (None, 7, 0, 4, 5, 5)} and got.count() == 2
+
+
+def written(spark):
+    """Bytes that all shuffles so far have written."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    e = sc.statusStore().executorList(False)
+    return sum(e.apply(i).totalShuffleWrite() for i in range(e.size()))
+
+
+def test_phrases_are_found_in_one_pass(spark, monkeypatch):
+    rnd = random.Random(5)
+    some = lambda n: " ".join(rnd.choice(["a", "bb", "ccc", "é", "كتاب"]) for _ in range(n))
+    texts = [(i, some(rnd.randint(1, 60))) for i in range(80)]
+    phrases = sorted({some(rnd.choice([1, 2, 3, 4, 5, 7])) for _ in range(150)} | {texts[3][1]})
+    want = {(d, p, p.upper()) for d, x in texts for p in phrases if f" {p} " in f" {x} "}
+    docs = spark.createDataFrame([*((d, x.split()) for d, x in texts), (99, []), (98, None)], "doc_id long, w array<string>")
+    frame = spark.createDataFrame([(p, p.upper()) for p in phrases], "k string, u string")
+    # The smallest bitmap, which lets others through, and documents parted.
+    monkeypatch.setattr(L, "MOST_BITS", 15), monkeypatch.setattr(L, "BATCH_WORDS", 50)
+    got = [(x["doc_id"], x["k"], x["u"]) for x in L.phrases_inside(docs, frame).collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+    assert L.phrases_inside(docs, frame.limit(0)).count() == 0 and L.phrases_inside(docs.limit(0), frame).count() == 0
+
+
+def test_title_inside_text_does_not_shuffle_documents(spark, tmp_path):
+    put = lambda n, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{n}.parquet")
+    rnd = random.Random(7)
+    put("documents", [(i, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(300)) + (" of the old, treaty" if i == 5 else "")) for i in range(200)] + [(None, "The Old Treaty")], "doc_id long, text string")
+    put("articles", [("s", "The Old Treaty"), ("t", "the old treaty survey"), ("u", "the old"), (None, "old treaty")], "stem string, title string")
+    before = written(spark)
+    assert {tuple(x) for x in registry.queries()["title_inside_text"](spark, str(tmp_path)).collect()} == {("s", 5), ("s", None), (None, 5), (None, None)}
+    # The documents' 60,000 words alone are 600 kB.
+    assert written(spark) - before < 100_000
